@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ecoc_langid, exact_dedup, packing, toxicity_kn, warc
+from . import byte_bpe, ecoc_langid, exact_dedup, ngram_join, packing, pitman_yor, toxicity_kn, warc
 from .common import fold_of, table
 
 
@@ -26,6 +26,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, n=5, recall=0.9999)
+
+
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id")) == 1
+    out = pitman_yor.score(table(spark, sf_dir, "documents"), ~held_out)
+    return out.withColumn("held_out", held_out)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ecoc_langid.fit(docs, fold_of(F.col("doc_id")) != 0)
@@ -59,7 +69,7 @@ FROM (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION B
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_packing": op2_packing, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_packing": op2_packing, "op3_ngram_join": op3_ngram_join, "op5_pitman_yor": op5_pitman_yor, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
