@@ -66,3 +66,21 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcasts ``df`` only when its counted size is within ``BROADCAST_BYTES``."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` that ``decisions`` (id, kept: a row for each of ``docs``) keeps, with all columns.
+
+    Rows that share an id, null included, are decided together: if one is kept,
+    their distinct texts stay, once each.
+    """
+    spark = docs.sparkSession
+    per_id = stored(decisions.groupBy(F.col(id_col).alias("wanted")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), scratch(spark, "decisions"))
+    counts = per_id.groupBy("kept").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = {r.kept: r.n for r in counts}
+    same = F.col(id_col).eqNullSafe(F.col("wanted"))
+    out = docs.join(maybe_broadcast(per_id.select("wanted"), sum(n.values()), 48), same, "left_anti")
+    if n.get(True):
+        repeated = docs.join(maybe_broadcast(per_id.where("kept").select("wanted"), n[True], 48), same, "left_semi")
+        out = out.unionByName(repeated.dropDuplicates([id_col, "text"]))
+    return out

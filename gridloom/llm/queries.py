@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ecoc_langid, exact_dedup, ngram_join, packing, pitman_yor, toxicity_kn, warc
+from . import byte_bpe, ecoc_langid, exact_dedup, ngram_join, packing, pitman_yor, spotsigs, toxicity_kn, training_order, warc
 from .common import fold_of, table
 
 
@@ -30,12 +30,20 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, n=5, recall=0.9999)
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), sequence=1024, key=20_240_601)
+
+
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id")) == 1
     out = pitman_yor.score(table(spark, sf_dir, "documents"), ~held_out)
     return out.withColumn("held_out", held_out)
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ecoc_langid.fit(docs, fold_of(F.col("doc_id")) != 0)
@@ -69,7 +77,11 @@ FROM (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION B
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_packing": op2_packing, "op3_ngram_join": op3_ngram_join, "op5_pitman_yor": op5_pitman_yor, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_toxicity": op9_toxicity, "op10_warc": op10_warc}
+    found = (
+        op1_exact_dedup, op2_packing, op3_ngram_join, op4_training_order, op5_pitman_yor,
+        op6_spotsigs, op7_language_id, op8_byte_bpe, op9_toxicity, op10_warc,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
