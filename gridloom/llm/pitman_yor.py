@@ -26,26 +26,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, remove, scratch, stored
+from .common import release, remove, scratch, stored, tidy
 
 CONTEXT_BITS = 18
 CONTEXTS = 1 << CONTEXT_BITS
-CHUNK_TOKENS, BUCKET_BYTES = 2_000_000, 12 << 20
+CHUNK_TOKENS, BUCKET_BYTES = 3_000_000, 12 << 20
 RANGES = 64
 THETA = 1.0
 END_HASH = 0x5851F42D4C957F2D
-PARTS = "bucket long, kind int, chunk long, a binary, b binary, c binary"
+PARTS = "bucket long, kind int, chunk long, a binary, b binary, c binary, d binary"
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """An array of integers or floats, compressed; deltas are left to the caller."""
-    raw = np.ascontiguousarray(x).tobytes()
+    """An array, compressed byte plane by byte plane, as the high bytes of numbers are much alike."""
+    x = np.ascontiguousarray(x)
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def loose(data: bytes, kind: str) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
+    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -90,8 +92,8 @@ class Chunk:
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[k], bounds[k + 1]
             own = slice(first[a], first[b])
-            out.append((k, 2, number, squeeze(hashes[a:b]), squeeze(per_word[a:b]), squeeze(np.stack([contexts[own], counts[own]]))))
-        out.append((-1, -1, number, squeeze(where.astype(np.uint32)), squeeze(np.array(self.sizes, np.uint32)), squeeze(per_word)))
+            out.append((k, 2, number, squeeze(hashes[a:b]), squeeze(per_word[a:b]), squeeze(contexts[own]), squeeze(counts[own])))
+        out.append((-1, -1, number, squeeze(where.astype(np.uint32)), squeeze(np.array(self.sizes, np.uint32)), squeeze(per_word), None))
         return out
 
 
@@ -101,9 +103,9 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "chunk", "a", "b", "c"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "chunk", "a", "b", "c", "d"])
 
 
 def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,6 +213,8 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
                     number, chunk = number + 1, Chunk()
         if chunk.ids:
             yield flush()
+        del chunk
+        tidy()
 
     counted = rows.mapInArrow(count, f"{PARTS}, ids array<{kind}>")
     counted.withColumn("side", F.col("kind")).write.partitionBy("side").parquet(f"{folder}/counted")
@@ -237,9 +241,9 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
 
         def each(row):
             nonlocal held, pending
-            x = loose(row[5], "<u4").reshape(2, -1)
-            held.append((loose(row[3], "<u8"), loose(row[4], "<u4"), x[0], x[1].astype(np.uint64)))
-            pending += x.shape[1]
+            contexts = loose(row[5], "<u4")
+            held.append((loose(row[3], "<u8"), loose(row[4], "<u4"), contexts, loose(row[6], "<u4").astype(np.uint64)))
+            pending += len(contexts)
             if pending > 6_000_000:
                 held = [merge(held)]
                 pending = 0
@@ -249,28 +253,32 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
             nonlocal held, pending
             words, per_word, contexts, counts = merge(held)
             held, pending = [], 0
-            yield batch([(bucket, 0, 0, squeeze(words), squeeze(per_word), squeeze(np.stack([contexts.astype(np.uint64), counts])))])
+            yield batch([(bucket, 0, 0, squeeze(words), squeeze(per_word), squeeze(contexts), squeeze(counts))])
 
         yield from by_bucket(batches, each, end)
+        tidy()
 
     placed = requests.repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "chunk")
     model = stored(placed.mapInArrow(gather, PARTS), f"{folder}/model")
     release(spark)
 
     def restaurants(row) -> Restaurants:
-        contexts, counts = loose(row[5], "<u8").reshape(2, -1)
-        return Restaurants(row[0], loose(row[3], "<u8"), loose(row[4], "<u4"), contexts.astype(np.int64), counts)
+        return Restaurants(row[0], *map(loose, row[3:7], ("<u8", "<u4", "<u4", "<u8")))
 
     def ranges_of(values: np.ndarray, contexts: np.ndarray) -> list[bytes]:
         dense = np.bincount(contexts, weights=values, minlength=CONTEXTS).astype(np.int64)
         return [squeeze(x) for x in dense.reshape(RANGES, -1)]
 
-    schema = "bucket long, customers binary, tables binary, ones long, twos long, sum_customers double, sum_tables double, per_context array<binary>, per_context_customers array<binary>, pair_ones long, pair_twos long, n long"
+    schema = f"{PARTS}, history array<binary>, ones long, twos long, sum_customers double, sum_tables double, per_context array<binary>, per_context_customers array<binary>, pair_ones long, pair_twos long, n long"
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def result(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def result(row: tuple, history: list[bytes], tables: np.ndarray, r: Restaurants, customers: np.ndarray, at_parent: np.ndarray, first: bool) -> pa.RecordBatch:
+        """The row of a bucket with the states (customers and tables of words) that later steps need, and what other buckets need to know."""
+        ones = lambda x, k: int((x == k).sum()) if first else 0
+        own = (*row[:7], [*history, squeeze(customers), squeeze(at_parent)], ones(customers, 1), ones(customers, 2), float(customers.sum()), float(at_parent.sum()))
+        own += (ranges_of(tables, r.contexts), ranges_of(r.counts, r.contexts) if first else [], ones(r.counts, 1), ones(r.counts, 2), int(r.counts.sum()))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(own, kinds, strict=True)], names)
 
     def start(batches):
         """Each pair has one table at first."""
@@ -279,33 +287,30 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
                 r = restaurants(row)
                 tables = np.ones(len(r.counts))
                 customers = np.add.reduceat(tables, r.first) if len(r.first) else tables
-                yield result([(row[0], squeeze(customers), squeeze(np.ones(len(customers))), int((customers == 1).sum()), int((customers == 2).sum()), float(customers.sum()), float(len(customers)), ranges_of(tables, r.contexts), ranges_of(r.counts, r.contexts), int((r.counts == 1).sum()), int((r.counts == 2).sum()), int(r.counts.sum()))])
+                yield result(row, [], tables, r, customers, np.ones(len(customers)), True)
+        tidy()
 
     def add_up(state: DataFrame, column: str) -> np.ndarray:
         """Sums of all buckets for every context: a fixed number of values, summed range by range."""
 
-        def total(key, group):
-            return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), "sums": [sum(loose(x, "<i8") for x in group.column("part").to_pylist()).tobytes()]})
-
-        # in two steps, so that a range is not one task's work
         def some(key, group):
             return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), "part": [squeeze(sum(loose(x, "<i8") for x in group.column("part").to_pylist()))]})
 
         each = state.select("bucket", F.posexplode(column).alias("r", "part"))
+        # in two steps, so that a range is not one task's work
         half = each.withColumn("s", F.pmod("bucket", F.lit(max(1, int(buckets**0.5))))).groupBy("r", "s").applyInArrow(some, "r int, part binary")
-        got = half.groupBy("r").applyInArrow(total, "r int, sums binary").collect()
         out = np.zeros((RANGES, CONTEXTS // RANGES), np.int64)
-        for r in got:
-            out[r.r] = np.frombuffer(r.sums, np.int64)
+        for r in half.groupBy("r").applyInArrow(some, "r int, part binary").collect():
+            out[r.r] = loose(r.part, "<i8")
         return out.ravel()
 
-    first = stored(model.mapInArrow(start, schema), f"{folder}/0")
-    sums = first.agg(*(F.sum(c).alias(c) for c in ("ones", "twos", "sum_customers", "sum_tables", "pair_ones", "pair_twos", "n"))).first()
+    now = stored(model.mapInArrow(start, schema), f"{folder}/0")
+    sums = now.agg(*(F.sum(c).alias(c) for c in ("ones", "twos", "sum_customers", "sum_tables", "pair_ones", "pair_twos", "n"))).first()
+    remove(spark, f"{folder}/model")
     n_train, vocabulary = sums.n or 0, int(sums.sum_tables or 0)
     fixed = {"base": vocabulary + 1.0, "d0": discount(sums.ones or 0, sums.twos or 0), "d1": discount(sums.pair_ones or 0, sums.pair_twos or 0)}
-    context_customers = add_up(first, "per_context_customers")
-    states = [fixed | {"customers": sums.sum_customers or 0.0, "tables": sums.sum_tables or 0.0, "context_tables": add_up(first, "per_context")}]
-    folders = [first]
+    context_customers = add_up(now, "per_context_customers")
+    states = [fixed | {"customers": sums.sum_customers or 0.0, "tables": sums.sum_tables or 0.0, "context_tables": add_up(now, "per_context")}]
 
     for k in range(1, sweeps + 1):
         sent = spark.sparkContext.broadcast(states[-1])
@@ -314,17 +319,17 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
             state = sent.value
             for b in batches:
                 for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    r = restaurants(row)
-                    parent = r.parent(state, loose(row[6], "<f8"), loose(row[7], "<f8"))
-                    tables = r.sweep(state, parent, seed + k)
+                    r, history = restaurants(row), row[7]
+                    tables = r.sweep(state, r.parent(state, loose(history[-2], "<f8"), loose(history[-1], "<f8")), seed + k)
                     customers, at_parent = r.at_parent(state, tables, seed + k)
-                    yield result([(row[0], squeeze(customers), squeeze(at_parent), 0, 0, float(customers.sum()), float(at_parent.sum()), ranges_of(tables, r.contexts), [], 0, 0, 0)])
+                    yield result(row, history if k > burn_in else [], tables, r, customers, at_parent, False)
+            tidy()
 
-        both = model.join(folders[-1].select("bucket", "customers", "tables"), "bucket").select("bucket", "kind", "chunk", "a", "b", "c", "customers", "tables")
-        now = stored(both.mapInArrow(once, schema), f"{folder}/{k}")
+        now = stored(now.select(names[:8]).mapInArrow(once, schema), f"{folder}/{k}")
+        remove(spark, f"{folder}/{k - 1}")
         sums = now.agg(F.sum("sum_customers").alias("c"), F.sum("sum_tables").alias("t")).first()
         states.append(fixed | {"customers": sums.c or 0.0, "tables": sums.t or 0.0, "context_tables": add_up(now, "per_context")})
-        folders.append(now)
+    release(spark)
 
     used = range(burn_in, sweeps + 1)  # the first of them only seats the next
     sent = spark.sparkContext.broadcast(({k: states[k] for k in used}, context_customers))
@@ -335,13 +340,17 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
 
         def each(row):
             nonlocal r, mean, keys
-            bucket, what, chunk, a, b, c = row
+            bucket, what, chunk, a, b, c, _, history = row
             if what == 0:
                 r, mean = restaurants(row), None
                 parents.clear()
-            elif what == 1:
-                parents[chunk] = r.parent(states[chunk], loose(a, "<f8"), loose(b, "<f8"))
+                for j, k in enumerate(used):
+                    parents[k] = r.parent(states[k], loose(history[2 * j], "<f8"), loose(history[2 * j + 1], "<f8"))
             else:
+                if r is None or r.bucket != bucket:  # nothing was learned for this bucket
+                    r, mean = Restaurants(bucket, *(np.empty(0, t) for t in ("<u8", "<u4", "<u4", "<u8"))), None
+                    parents.clear()
+                    parents.update({k: np.empty(0) for k in used})
                 kept = [k for k in parents if k - 1 in parents]
                 if mean is None:
                     keys = r.word.astype(np.uint64) << np.uint64(CONTEXT_BITS) | r.contexts.astype(np.uint64)
@@ -352,7 +361,7 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
                         new = THETA + s["d1"] * s["context_tables"][r.contexts]
                         mean += (r.counts - s["d1"] * tables + new * parents[k][r.word]) / (THETA + of_context[r.contexts])
                     mean /= len(kept)
-                words, per_word, contexts = loose(a, "<u8"), loose(b, "<u4"), loose(c, "<u4").reshape(2, -1)[0]
+                words, per_word, contexts = loose(a, "<u8"), loose(b, "<u4"), loose(c, "<u4")
                 at = np.searchsorted(r.words, words)
                 at[at == len(r.words)] = 0
                 known = r.words[at] == words if len(r.words) else np.zeros(len(words), bool)
@@ -371,24 +380,23 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
                 totals = np.zeros(len(words), np.uint64)
                 if len(r.words):
                     totals[known] = np.add.reduceat(r.counts, r.first)[at[known]]
-                yield batch([(bucket, 3, chunk, squeeze(np.log10(p).astype(np.float32)), squeeze(totals), None)])
+                yield batch([(bucket, 3, chunk, squeeze(np.log10(p).astype(np.float32)), squeeze(totals), None, None)])
 
         yield from by_bucket(batches, each, lambda bucket: ())
+        tidy()
 
-    state_rows = None
-    for k in used:
-        own = folders[k].select("bucket", F.lit(1).alias("kind"), F.lit(k).cast("long").alias("chunk"), F.col("customers").alias("a"), F.col("tables").alias("b"), F.lit(None).cast("binary").alias("c"))
-        state_rows = own if state_rows is None else state_rows.unionByName(own)
-    asked = model.unionByName(state_rows).unionByName(requests).repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "kind", "chunk")
+    model = now.select(names[:8])
+    asked = model.unionByName(requests.drop("d"), allowMissingColumns=True).repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "kind", "chunk")
     answers = stored(asked.mapInArrow(answer, PARTS), f"{folder}/answers")
     remove(spark, f"{folder}/counted/side=2")
+    remove(spark, f"{folder}/{sweeps}")
     release(spark)
 
     def finish(batches):
         probability, known = [], []
         base = np.log10(n_train + 0.5 * (vocabulary + 1))
         for b in batches:
-            for bucket, what, _, a, second, c, ids in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for _, what, _, a, second, c, _, ids in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if what == 3:
                     probability.append(loose(a, "<f4"))
                     known.append(loose(second, "<u8"))
@@ -402,6 +410,7 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
                 hits = np.add.reduceat((counts > 0).astype(np.int64), first)
                 probability, known = [], []
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("ids").type.value_type), pa.array(sizes), pa.array(hits), pa.array(np.full(len(sizes), n_train, np.int64)), pa.array(simple), pa.array(own)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        tidy()
 
     tokens = read(-1)
     ready = tokens.withColumn("bucket", F.lit(2**62)).unionByName(answers, allowMissingColumns=True)
