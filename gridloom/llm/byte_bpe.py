@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Letters and numbers of Unicode versions that unicodedata may not know yet.
 NEWER_LETTERS = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
@@ -41,7 +43,7 @@ OTHER, LETTER, NUMBER, SPACE, LEAD_SPACE, LAST_SPACE, END, QUOTE1, QUOTE2 = rang
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACE, AFTER_LEAD, TWO_TO_COME, ONE_TO_COME = range(8)
 NONE = np.int32(2**31 - 1)
 #: Characters that are scanned together, and pieces that a worker remembers.
-BATCH_CHARS, CACHE_PIECES, BLOCK = 1_000_000, 1_000_000, 512
+BATCH_CHARS, CACHE_PIECES, BLOCK = 500_000, 400_000, 512
 #: Of the polynomial hash of pieces; a match is checked against length and both ends of the piece.
 BASE = np.uint64(0xA24BAED4963EE407)
 
@@ -135,8 +137,6 @@ class ByteBPE:
         self.keys = np.array([x[0] for x in pairs], np.int64)
         self.priority = np.array([x[1] for x in pairs], np.int32)
         self.merged = np.array([x[2] for x in pairs], np.int32)
-        self.by_pair = merges
-        self.by_priority = dict(zip(self.priority.tolist(), self.merged.tolist(), strict=True))
         self.id_of_priority = np.zeros(int(self.priority.max(initial=0)) + 1, np.int32)
         self.id_of_priority[self.priority] = self.merged
         self.kinds = class_table()
@@ -206,25 +206,38 @@ class ByteBPE:
         at[at == len(self.keys)] = 0
         return np.where((self.keys.take(at) == key) & (left >= 0) & (right >= 0), self.priority.take(at), NONE)
 
+    def pair(self, left: int, right: int) -> tuple[int, int] | None:
+        """Priority and id of one merge."""
+        key = left << 32 | right
+        at = int(np.searchsorted(self.keys, key))
+        return (int(self.priority[at]), int(self.merged[at])) if at < len(self.keys) and self.keys[at] == key else None
+
     def merge_long(self, piece: bytes) -> list[int]:
         """One piece of any length, with a heap of pairs."""
         ids, n = self.of_byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        alive = [True] * n
-        heap = [(self.by_pair[p][0], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.by_pair]
-        heapq.heapify(heap)
+        alive, heap, met = [True] * n, [], {}
+
+        def offer(i: int, j: int) -> None:
+            p = ids[i], ids[j]
+            if p not in met:
+                met[p] = self.pair(*p)
+            if met[p]:
+                heapq.heappush(heap, (met[p][0], i, *p))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
         while heap:
             _, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], alive[j], after[i] = self.by_pair[a, b][1], False, after[j]
+            ids[i], alive[j], after[i] = met[a, b][1], False, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (p := (ids[i], ids[after[i]])) in self.by_pair:
-                    heapq.heappush(heap, (self.by_pair[p][0], i, *p))
-            if before[i] >= 0 and (p := (ids[before[i]], ids[i])) in self.by_pair:
-                heapq.heappush(heap, (self.by_pair[p][0], before[i], *p))
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
         return [t for t, x in zip(ids, alive, strict=True) if x]
 
     def merge_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -429,6 +442,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for b in batches:
             ids = list(bpe.encode(x if x is not None else "" for x in b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+            del ids
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary")
@@ -445,6 +460,8 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
         for b in batches:
             out = [bpe.decode(x or b"") for x in b.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+            del out
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, decoded binary")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BITS = 13
 FEATURES = 1 << BITS
 UNDETERMINED = "und"
@@ -96,6 +98,7 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "d
         for b in batches:
             own = [(k, np.flatnonzero(v := vector(t.encode())).astype(np.uint16), v) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.string()), pa.array([x[1].tobytes() for x in own], pa.binary()), pa.array([x[2][x[1]].tobytes() for x in own], pa.binary())], ["lang", "at", "value"])
+        tidy()
 
     sample = sorted(tuple(r) for r in rows.where(chosen).select("lang", "text").mapInArrow(features, "lang string, at binary, value binary").collect())
     if not sample:
@@ -133,6 +136,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 for k, l, s, g in zip(own, best.tolist(), sure.tolist(), gap.tolist(), strict=True):
                     lang[k], score[k], unsure[k] = m.languages[l], s, g < least_gap
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")

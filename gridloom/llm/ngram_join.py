@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, scratch, stored
+from .common import maybe_broadcast, scratch, stored, tidy
 from .components import components
 
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 500_000
 #: Members, and n-grams, of a block; larger components are compared block against block.
 BLOCK_MEMBERS, BLOCK_GRAMS = 512, 1_500_000
 COLUMNS = 2048
@@ -138,6 +138,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall
                 digests.append(d)
                 own.append(minhash.band_hashes(h) if len(h) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["id", "digest", "bands"])
+        words.clear()
+        tidy()
 
     signed = base.mapInArrow(sign, f"id {kind.simpleString()}, digest binary, bands array<long>")
     signed = stored(signed.withColumn("rid", F.monotonically_increasing_id()), f"{folder}/signed")
@@ -155,6 +157,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall
         for b in batches:
             both = [(d, np.unique(h)) for d, h in (grams(t, words, n) for t in b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.binary()), pa.array([len(x[1]) for x in both], pa.int64()), pa.array([x[1].tobytes() for x in both], pa.binary())], ["digest", "grams", "set"])
+        words.clear()
+        tidy()
 
     ids = members.select(F.col("id").alias("wanted")).distinct()
     ids = maybe_broadcast(ids, members.count(), 64)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
+from .common import tidy
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequences that one task can number.
@@ -97,6 +98,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
             yield batch(rows)
         if kind_of is not None:
             yield batch(bins.rest())
+        tidy()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {SCHEMA}")
     return out.withColumnRenamed("id", id_col)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .ecoc_langid import FOLD
 
 SHARED, ORDER, DISCOUNT = 3, 6, 0.75
@@ -24,7 +25,7 @@ SHARED, ORDER, DISCOUNT = 3, 6, 0.75
 SLOTS = {4: 19, 5: 20, 6: 21}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PAD = b"\0" * ORDER
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 400_000
 
 
 def prepared(text: str | None) -> bytes:
@@ -111,7 +112,7 @@ class Model:
             if left is not None:
                 at += left[:-1]
             at[hit] = value[slot[hit]]
-            left = np.where(hit, over[slot], np.float32(0)) if n < ORDER else None
+            left = np.where(hit, over[slot], np.float16(0)) if n < ORDER else None
         out[b == 0] = 0
         return out
 
@@ -172,7 +173,7 @@ def likelihood_tables(toxic: list[bytes], ordinary: list[bytes]) -> dict[int, tu
         over = np.log10(classes[0].left_over(n + 1, keys) / classes[1].left_over(n + 1, keys)).astype(np.float32) if n < ORDER else np.zeros(len(keys), np.float32)
         slot, tag = slot_and_tag(keys, SLOTS[n])
         keep = np.argsort(np.abs(value), kind="stable")  # the most telling n-gram keeps its slot
-        tags, values, overs = (np.zeros(1 << SLOTS[n], t) for t in (np.uint16, np.float32, np.float32))
+        tags, values, overs = (np.zeros(1 << SLOTS[n], t) for t in (np.uint16, np.float16, np.float16))
         tags[slot[keep]], values[slot[keep]], overs[slot[keep]] = tag[keep], value[keep], over[keep]
         tables[n], lower_keys = (tags, values, overs), keys
     return tables
@@ -232,6 +233,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
             texts = b.column(where).to_pylist()
             out = m.score(texts) if m and texts else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*names, "toxicity"])
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, toxicity double")

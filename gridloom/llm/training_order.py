@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import scratch, stored
+from .common import scratch, stored, tidy
 
 MANIFEST = "shard long, file string, first_slot long, sequences long, bytes long, sha256 string"
 
@@ -115,6 +115,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
         if held:
             close(held)
             yield out()
+        tidy()
         if made != sizes.get(task, 0):
             raise RuntimeError(f"task {task} made {made} sequences, {sizes.get(task, 0)} were counted: the input has changed")
 
