@@ -42,9 +42,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.select("id", "points", "norm", F.octet_length("norm").alias("size"), bytes_of(F.col("norm"), 0, FIRST_BYTES).alias("digit"))
     done_columns = ["id", "points", "sha", "rid", "gid"]
 
-    # first digit: groups of more than one, numbered as they are written
+    # first digit: groups of more than one, numbered as they are written; below zero, as later groups take a row's number
     first = rows.groupBy("size", "digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = stored(first.select("size", "digit", F.monotonically_increasing_id().alias("gid")), f"{folder}/first")
+    first = stored(first.select("size", "digit", (-1 - F.monotonically_increasing_id()).alias("gid")), f"{folder}/first")
     groups = maybe_broadcast(first, first.count(), 128)
     with_sha = rows.withColumn("sha", F.sha2("norm", 256))
     alone = with_sha.join(groups, ["size", "digit"], "left_anti").select("id", "sha")
