@@ -63,6 +63,18 @@ def number_value(text: Column) -> Column:
     return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
+def strict_value(text: Column) -> Column:
+    """The number of a text that passes ``is_numeric_strict``, else null."""
+    t = _signed(F.replace(F.regexp_replace(stripped(text), "%+$", ""), F.lit(","), F.lit("")))
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+
+
+def is_score_number(text: Column) -> Column:
+    """The confidence score's test: every bracket counts as a sign, and one % may end the number."""
+    t = F.replace(F.replace(F.replace(stripped(text), F.lit(","), F.lit("")), F.lit("("), F.lit("-")), F.lit(")"), F.lit(""))
+    return t.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*%?$")
+
+
 def lookup_key(text: Column) -> Column:
     """Text for comparing cells: without commas, spaces and U+3000, (x) as -x."""
     return _signed(F.regexp_replace(stripped(text), "[, 　]", ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cells as C
+from ..operators import edits as E
 from ..operators import geometry as G
 from ..operators import joins as J
 from ..sources.derived import CELLS_SQL, ITEMS_SQL, cells, items
@@ -330,6 +331,88 @@ def restore_cells(spark: SparkSession, d: str) -> DataFrame:
     return J.restore(c.where("row_idx > 0"), c.where("row_idx = 0")).select("table_id", "row_idx", "col_idx")
 
 
+SPAN = f", span AS (SELECT *, min(CASE WHEN {S} <> '' THEN col_idx END) OVER (PARTITION BY table_id, row_idx) AS lo, max(CASE WHEN {S} <> '' THEN col_idx END) OVER (PARTITION BY table_id, row_idx) AS hi FROM cells)"
+#: The cells with a seventh taken out, so that rows differ in width.
+RAGGED = CELLS_SQL.replace(", cells AS (", ", whole AS (") + ", cells AS (SELECT * FROM whole WHERE (table_id + row_idx + col_idx) % 7 <> 0)"
+
+
+def _ragged(spark: SparkSession, d: str) -> DataFrame:
+    return cells(spark, d).where("(table_id + row_idx + col_idx) % 7 <> 0")
+
+
+@query(SPAN + " SELECT table_id, row_idx, col_idx - coalesce(lo, 0) AS col_idx, text FROM span WHERE lo IS NULL OR col_idx BETWEEN lo AND hi", CELLS_SQL)
+def trim_row_edges(spark: SparkSession, d: str) -> DataFrame:
+    return E.trim_row_edges(cells(spark, d))
+
+
+@query(SPAN + f" SELECT s.table_id, s.row_idx, s.col_idx, coalesce(o.text, '') AS text FROM span s LEFT JOIN span o ON o.table_id = s.table_id AND o.row_idx = s.row_idx AND o.col_idx = s.col_idx + coalesce(s.lo, 0) AND (s.lo IS NULL OR o.col_idx <= s.hi)", CELLS_SQL)
+def shift_rows_left(spark: SparkSession, d: str) -> DataFrame:
+    return E.shift_rows_left(cells(spark, d))
+
+
+@query(f", shape AS (SELECT table_id, max(col_idx) + 1 AS width, min(CASE WHEN {S} <> '' THEN row_idx END) AS top, max(CASE WHEN {S} <> '' THEN row_idx END) AS bottom FROM cells GROUP BY 1), r AS (SELECT table_id, width, top, unnest(range(top, bottom + 1)) AS rr FROM shape WHERE top IS NOT NULL), slots AS (SELECT table_id, top, rr, unnest(range(width)) AS cc FROM r) SELECT s.table_id, CAST(rr - top AS INT) AS row_idx, CAST(cc AS INT) AS col_idx, text FROM slots s LEFT JOIN cells c ON c.table_id = s.table_id AND c.row_idx = rr AND c.col_idx = cc", RAGGED)
+def pad_to_width(spark: SparkSession, d: str) -> DataFrame:
+    return E.pad_to_width(_ragged(spark, d))
+
+
+#: Every second row repeats the row above it in part.
+ECHO = "CASE WHEN row_idx % 2 = 0 THEN text WHEN col_idx < 3 THEN lag(text) OVER (PARTITION BY table_id, col_idx ORDER BY row_idx) ELSE '' END"
+ECHO_SQL = CELLS_SQL.replace(", cells AS (", ", whole AS (") + f", cells AS (SELECT table_id, row_idx, col_idx, {ECHO} AS text FROM whole)"
+SUBSET = f""", r AS (SELECT table_id, row_idx, max(CASE WHEN col_idx = 0 THEN {S} END) AS label, coalesce(list(DISTINCT {KEY}) FILTER ({S} <> ''), []) AS held FROM cells GROUP BY 1, 2),
+n AS (SELECT *, lead(label) OVER w AS nl, lead(held) OVER w AS nh FROM r WINDOW w AS (PARTITION BY table_id ORDER BY row_idx)),
+o AS (SELECT *, coalesce(label <> '' AND label = nl AND len(held) > 0 AND list_has_all(nh, held) AND len(nh) > len(held), false) AS fg, coalesce(label <> '' AND label = nl AND len(nh) > 0 AND list_has_all(held, nh) AND len(held) > len(nh), false) AS sg FROM n),
+g AS (SELECT *, count(*) FILTER (NOT sg) OVER (PARTITION BY table_id ORDER BY row_idx) AS run FROM o),
+a AS (SELECT *, sg AND count(*) FILTER (sg) OVER (PARTITION BY table_id, run ORDER BY row_idx) % 2 = 1 AS acts FROM g),
+kept AS (SELECT table_id, row_idx FROM (SELECT *, fg OR coalesce(lag(acts) OVER (PARTITION BY table_id ORDER BY row_idx), false) AS gone FROM a) x WHERE NOT gone),
+m AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row_idx) - 1 AS place FROM kept)
+SELECT table_id, CAST(place AS INT) AS row_idx, col_idx, text FROM cells JOIN m USING (table_id, row_idx)"""
+
+
+@query(SUBSET, ECHO_SQL)
+def drop_subset_rows(spark: SparkSession, d: str) -> DataFrame:
+    return E.drop_subset_rows(cells(spark, d).withColumn("text", F.expr(ECHO)))
+
+
+@query(f" SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id, col_idx ORDER BY row_idx) - 1 AS INT) AS row_idx, col_idx, text FROM cells WHERE (table_id + row_idx) % 3 <> 0", CELLS_SQL)
+def delete_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    return E.delete_rows(c, c.where("(table_id + row_idx) % 3 = 0"))
+
+
+@query(" , e AS (SELECT *, least(2, max(row_idx) OVER (PARTITION BY table_id) + 1) AS spot FROM cells) SELECT table_id, row_idx + CAST(row_idx >= spot AS INT) AS row_idx, col_idx, text FROM e UNION ALL SELECT DISTINCT table_id, spot, col_idx, '' FROM e", CELLS_SQL)
+def insert_row(spark: SparkSession, d: str) -> DataFrame:
+    return E.insert_blank(cells(spark, d), "row_idx", 2)
+
+
+@query(" SELECT table_id, row_idx, col_idx + CAST(col_idx >= 1 AS INT) AS col_idx, text FROM cells UNION ALL SELECT DISTINCT table_id, row_idx, 1, '' FROM cells", CELLS_SQL)
+def insert_column(spark: SparkSession, d: str) -> DataFrame:
+    return E.insert_blank(cells(spark, d), "col_idx", 1)
+
+
+SCORED = f"regexp_matches(replace(replace(replace({S}, ',', ''), '(', '-'), ')', ''), '^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*%?$')"
+
+
+@query(f""", r AS (SELECT table_id, row_idx, count(*) AS w, count(*) FILTER ({S} = '') AS e, count(*) FILTER ({SCORED}) AS num FROM cells GROUP BY 1, 2),
+p AS (SELECT table_id, count(*) AS n, stddev_samp(w) AS sd, avg(w) AS mean, sum(e) * 1.0 / sum(w) AS e, sum(num) * 1.0 / sum(w) AS num FROM r GROUP BY 1)
+SELECT table_id, CASE WHEN n < 2 THEN 0.0 ELSE round(least(1.0, (greatest(0.0, 1 - 2 * sd / mean) * 0.35 + CASE WHEN e < 0.05 THEN 0.7 WHEN e > 0.5 THEN 0.3 ELSE 1 - e END * 0.25 + least(num * 2, 1.0) * 0.25) / 0.85 + CASE WHEN table_id % 4 = 0 THEN 0.15 ELSE 0 END), 6) END AS confidence FROM p""", RAGGED)
+def table_confidence(spark: SparkSession, d: str) -> DataFrame:
+    c = _ragged(spark, d)
+    return E.table_confidence(c, c.where("table_id % 4 = 0").select("table_id").distinct()).withColumn("confidence", F.round("confidence", 6))
+
+
+STRICT_VALUE = "TRY_CAST(" + _signed(f"replace(regexp_replace({S}, '%+$', ''), ',', '')") + " AS DOUBLE)"
+
+
+@query(f""", v AS (SELECT table_id, row_idx, col_idx, {STRICT_VALUE} AS value FROM cells WHERE {STRICT}),
+t AS (SELECT table_id, min(col_idx) AS col_idx, arg_min(value, col_idx) AS total FROM v WHERE row_idx = 0 GROUP BY 1),
+s AS (SELECT t.table_id, t.col_idx, total, sum(value) AS cs FROM t JOIN v ON v.table_id = t.table_id AND v.col_idx = t.col_idx AND v.row_idx BETWEEN 1 AND 2 GROUP BY ALL)
+SELECT table_id, 0 AS total_row, col_idx, total, round(cs, 4) AS child_sum, CASE WHEN abs(total) > 0.01 THEN abs(cs - total) / abs(total) ELSE abs(cs - total) END <= 0.01 AS verified FROM s""", CELLS_SQL)
+def check_totals(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d)
+    entries = c.select("table_id").distinct().select("table_id", F.lit(0).alias("total_row"), F.array(F.lit(1), F.lit(2)).alias("children"))
+    return E.check_totals(c, entries).withColumn("child_sum", F.round("child_sum", 4)).drop("children")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
