@@ -13,6 +13,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import scratch, stored, tidy
+from .common import release, remove, scratch, tidy
 
 MANIFEST = "shard long, file string, first_slot long, sequences long, bytes long, sha256 string"
+#: Least number of shards in a wave, so that each has work for several executors.
+WAVE_SHARDS = 8
 
 
 class Feistel:
@@ -50,7 +53,7 @@ class Feistel:
         return out.astype(np.int64)
 
 
-def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, key: int = 1, end_id: int = 0, shard_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, key: int = 1, end_id: int = 0, shard_bytes: int = 64 << 20, waves: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards and their index into ``folder``; returns the manifest.
 
     A document is its ids and then ``end_id``; null and empty texts are that id
@@ -62,25 +65,9 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
     shared = spark.sparkContext.broadcast(byte_bpe.file_bytes(vocabulary))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def count(batches):
-        bpe, n = byte_bpe.load(vocabulary, shared.value), 0
-        for b in batches:
-            n += sum(len(x) // 4 + 1 for x in bpe.encode(t or "" for t in b.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([-(-n // sequence)], pa.int64())], ["task", "n"])
-
-    sizes = {r.task: r.n for r in rows.mapInArrow(count, "task long, n long").collect()}  # a number for each task
-    total, first = 0, {}
-    for t in sorted(sizes):
-        first[t], total = total, total + sizes[t]
-    per_shard = max(1, shard_bytes // (4 * sequence))
-    shards = max(1, -(-total // per_shard))
-    order = Feistel(total, key)
-    plan = spark.sparkContext.broadcast((first, sizes))
-
     def cut(batches):
         bpe = byte_bpe.load(vocabulary, shared.value)
         task = TaskContext.get().partitionId()
-        first, sizes = plan.value
         width = "<u2" if len(bpe.token) <= 1 << 16 else "<u4"
         made, held, parts, spans = 0, 0, [], []
         rows = []
@@ -90,14 +77,14 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
             ids = b"".join(parts)
             if n < sequence:
                 ids += np.full(sequence - n, end_id, width).tobytes()
-            rows.append((first[task] + made, n, ids, [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans]))
+            rows.append((made, n, ids, [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans]))
             made, held, parts, spans = made + 1, 0, [], []
 
         def out():
-            slots = order.slots(np.array([r[0] for r in rows]))
             columns = list(zip(*rows, strict=True))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in columns[3:])], ["slot", "n_tokens", "ids", "doc_ids", "offsets", "starts"])
+            tasks = pa.array([task] * len(columns[0]), pa.int64())
+            return pa.RecordBatch.from_arrays([tasks, *(pa.array(c, pa.int64()) for c in columns[:2]), pa.array(columns[2], pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in columns[3:])], ["task", "number", "n_tokens", "ids", "doc_ids", "offsets", "starts"])
 
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), bpe.encode(t or "" for t in b.column(1).to_pylist()), strict=True):
@@ -116,11 +103,27 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
             close(held)
             yield out()
         tidy()
-        if made != sizes.get(task, 0):
-            raise RuntimeError(f"task {task} made {made} sequences, {sizes.get(task, 0)} were counted: the input has changed")
 
-    sequences = rows.mapInArrow(cut, "slot long, n_tokens long, ids binary, doc_ids array<long>, offsets array<long>, starts array<long>")
-    placed = sequences.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartition(int(shards), "shard").sortWithinPartitions("shard", "slot")
+    # Encoded once: the numbers of sequences are known only when all tasks are done, and their slots depend on them.
+    kept = f"{folder}/_sequences"
+    sequences = rows.mapInArrow(cut, "task long, number long, n_tokens long, ids binary, doc_ids array<long>, offsets array<long>, starts array<long>")
+    sequences.write.mode("overwrite").option("compression", "zstd").parquet(kept)
+    sequences = spark.read.schema(sequences.schema).parquet(kept)
+    sizes = sequences.groupBy("task").agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()  # a number for each task
+    tasks, counts = np.array([r.task for r in sizes], np.int64), np.array([r.n for r in sizes], np.int64)
+    total, firsts = int(counts.sum()), np.cumsum(counts) - counts
+    per_shard = max(1, shard_bytes // (4 * sequence))
+    shards = max(1, -(-total // per_shard))
+    order = Feistel(total, key)
+    plan = spark.sparkContext.broadcast((tasks, firsts))
+
+    @F.pandas_udf("long")
+    def slot(task: pd.Series, number: pd.Series) -> pd.Series:
+        known, first = plan.value
+        return pd.Series(order.slots(first[np.searchsorted(known, task.to_numpy())] + number.to_numpy()))
+
+    placed = sequences.withColumn("slot", slot("task", "number")).drop("task", "number")
+    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
 
     def save(batches):
         attempt = TaskContext.get().taskAttemptId()
@@ -158,7 +161,16 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
-    return stored(placed.mapInArrow(save, MANIFEST), f"{folder}/_manifest")
+    # Shards are written in waves of ranges, so only one wave's shuffle files take up disk beside the sequences.
+    waves = max(1, min(waves, shards // WAVE_SHARDS))
+    for k in range(waves):
+        lo, hi = shards * k // waves, shards * (k + 1) // waves
+        wave = placed.where((F.col("shard") >= lo) & (F.col("shard") < hi)).repartitionById(hi - lo, (F.col("shard") - lo).cast("int")).sortWithinPartitions("shard", "slot")
+        wave.mapInArrow(save, MANIFEST).write.mode("append" if k else "overwrite").parquet(f"{folder}/_manifest")
+        del wave
+        release(spark)
+    remove(spark, kept)
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
 def read(folder: str, manifest: DataFrame, sequence: int = 1024, first_slot: int = 0, end_slot: int | None = None) -> DataFrame:

@@ -111,7 +111,11 @@ def test_training_order(spark, docs, rows, none, tmp_path):
     order = training_order.Feistel(1000, 3)
     assert sorted(order.slots(np.arange(1000)).tolist()) == list(range(1000))
     folder = f"file://{tmp_path}/shards"
-    manifest = training_order.write(docs, JSON, folder, sequence=64, shard_bytes=4096)
+    manifest = training_order.write(docs, JSON, folder, sequence=64, shard_bytes=2048)
+    twice = training_order.digest(training_order.read(folder, manifest, 64), 64).orderBy("slot").collect()
+    whole = training_order.write(docs, JSON, f"{folder}-whole", sequence=64, shard_bytes=2048, waves=1)
+    assert twice == training_order.digest(training_order.read(f"{folder}-whole", whole, 64), 64).orderBy("slot").collect()
+    assert [r.shard for r in manifest.orderBy("shard").collect()] == list(range(manifest.count())) and manifest.count() >= 16
     assert [r.slot for r in training_order.read(folder, manifest, 64, 5, 40).orderBy("slot").collect()] == list(range(5, 40))
     assert training_order.round_trip(none, JSON).count() == 0
 
