@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 PAGE = ["doc_id", "page_number"]
 
 
@@ -91,3 +93,49 @@ def interpolated_pages(tables: DataFrame) -> DataFrame:
     t = t.withColumns({"a": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
     between = F.col("a.page") + (F.col("b.page") - F.col("a.page")) * (F.col("pos") - F.col("a.pos")) / F.greatest(F.col("b.pos") - F.col("a.pos"), F.lit(1))
     return t.withColumn("page", F.rint(F.coalesce(between, F.col("a.page").cast("double"), F.col("b.page").cast("double"))).cast("int")).drop("pos", "a", "b")
+
+
+#: Factor, least, most and default of the row threshold; factor, least and default height of the font's.
+GAP_FACTOR, GAP_LEAST, GAP_MOST, GAP_DEFAULT = 0.4, 2.0, 15.0, 5.0
+FONT_FACTOR, FONT_LEAST, FONT_DEFAULT = 0.5, 4.0, 10.0
+
+
+def row_threshold(items: DataFrame) -> DataFrame:
+    """Per page: a share of the median gap between neighbouring y0, clamped; a default for fewer than 5 values or 3 usable gaps."""
+    page = Window.partitionBy(*PAGE).orderBy("y0")
+    ys = items.select(*PAGE, F.when(~T.is_blank(F.col("text")), F.col("y0")).alias("y0")).distinct()
+    gap = F.col("y0") - F.lag("y0").over(page)
+    gaps = ys.withColumn("gap", gap).withColumn("gap", F.when((F.col("gap") > 0.5) & (F.col("gap") < 50), F.col("gap")))
+    per = gaps.groupBy(*PAGE).agg(F.count("y0").alias("n"), F.count("gap").alias("n_gaps"), F.median("gap").alias("middle"))
+    clamped = F.greatest(F.lit(GAP_LEAST), F.least(F.lit(GAP_MOST), F.col("middle") * GAP_FACTOR))
+    return per.select(*PAGE, F.when((F.col("n") >= 5) & (F.col("n_gaps") >= 3), clamped).otherwise(GAP_DEFAULT).alias("threshold"))
+
+
+def font_threshold(items: DataFrame) -> DataFrame:
+    """Per page: font size (median height of items that have one) and the row threshold that follows from it."""
+    height = F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0"))
+    per = items.groupBy(*PAGE).agg(F.coalesce(F.median(height), F.lit(FONT_DEFAULT)).alias("font_size"))
+    return per.withColumn("threshold", F.greatest(F.col("font_size") * FONT_FACTOR, F.lit(FONT_LEAST)))
+
+
+def column_spans(rows: DataFrame) -> DataFrame:
+    """Per page and ordinal column: least x0 and greatest x1 over all rows (items with row_idx); coordinates of 0 or less don't count.
+
+    Columns without a usable box are left out and the rest numbered from 0.
+    """
+    place = F.row_number().over(Window.partitionBy(*PAGE, "row_idx").orderBy("x0", "x1", "item_id"))
+    usable = rows.withColumn("place", place).where("x0 > 0 and x1 > 0")
+    spans = usable.groupBy(*PAGE, "place").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    return spans.withColumn("col_idx", F.row_number().over(Window.partitionBy(*PAGE).orderBy("place")) - 1).drop("place")
+
+
+def continuation_candidates(tables: DataFrame) -> DataFrame:
+    """Adds ``continues``: the table before, if it is on the same or the preceding page and differs by at most two columns.
+
+    Tables are (doc_id, table_id, page, n_cols); a table without columns is no candidate.
+    """
+    w = Window.partitionBy("doc_id").orderBy("table_id")
+    before = {c: F.lag(c).over(w) for c in ("table_id", "page", "n_cols")}
+    step = F.col("page") - before["page"]
+    close = step.isin(0, 1) & (F.col("n_cols") > 0) & (before["n_cols"] > 0) & (F.abs(F.col("n_cols") - before["n_cols"]) <= 2)
+    return tables.withColumn("continues", F.when(close, before["table_id"]))

@@ -413,6 +413,54 @@ def check_totals(spark: SparkSession, d: str) -> DataFrame:
     return E.check_totals(c, entries).withColumn("child_sum", F.round("child_sum", 4)).drop("children")
 
 
+@query(f", g AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY {PG} ORDER BY y0) AS gap FROM (SELECT DISTINCT {PG}, y0 FROM items WHERE {S} <> '') x), p AS (SELECT {PG}, count(*) AS n, count(*) FILTER (gap > 0.5 AND gap < 50) AS n_gaps, median(gap) FILTER (gap > 0.5 AND gap < 50) AS middle FROM g GROUP BY 1, 2) SELECT {PG}, round(CASE WHEN n >= 5 AND n_gaps >= 3 THEN greatest(2.0, least(15.0, middle * 0.4)) ELSE 5.0 END, 6) AS threshold FROM p", ITEMS_SQL)
+def row_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return G.row_threshold(items(spark, d)).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(f" SELECT {PG}, font_size, greatest(font_size * 0.5, 4.0) AS threshold FROM (SELECT {PG}, coalesce(median(y1 - y0) FILTER (y1 > y0), 10.0) AS font_size FROM items GROUP BY 1, 2) x", ITEMS_SQL)
+def font_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return G.font_threshold(items(spark, d))
+
+
+@query(f", r AS (SELECT *, row_number() OVER (PARTITION BY {PG}, y0 ORDER BY x0, x1, item_id) AS place FROM items), s AS (SELECT {PG}, place, min(x0) AS x0, max(x1) AS x1 FROM r WHERE x0 > 0 AND x1 > 0 GROUP BY 1, 2, 3) SELECT {PG}, CAST(row_number() OVER (PARTITION BY {PG} ORDER BY place) - 1 AS INT) AS col_idx, x0, x1 FROM s", ITEMS_SQL)
+def column_spans(spark: SparkSession, d: str) -> DataFrame:
+    return G.column_spans(items(spark, d).withColumn("row_idx", F.col("y0")))
+
+
+SHAPED = TABS + ", s AS (SELECT doc_id, table_id, CAST(table_id * 7 % 5 AS INT) AS page, CAST(table_id * 3 % 8 AS INT) AS n_cols FROM t)"
+
+
+@query(", b AS (SELECT *, lag(table_id) OVER w AS pt, lag(page) OVER w AS pp, lag(n_cols) OVER w AS pc FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY table_id)) SELECT doc_id, table_id, page, n_cols, CASE WHEN page IN (pp, pp + 1) AND n_cols > 0 AND pc > 0 AND abs(n_cols - pc) <= 2 THEN pt END AS continues FROM b", SHAPED)
+def continuation_candidates(spark: SparkSession, d: str) -> DataFrame:
+    t = _tables(spark, d).select("doc_id", "table_id", (F.col("table_id") * 7 % 5).cast("int").alias("page"), (F.col("table_id") * 3 % 8).cast("int").alias("n_cols"))
+    return G.continuation_candidates(t)
+
+
+@query(f" SELECT {AT}, trim(regexp_replace({S}, '[^0-9,.\\-()%\\s]', '', 'g')) AS text FROM cells", CELLS_SQL)
+def numeric_characters(spark: SparkSession, d: str) -> DataFrame:
+    return E.numeric_characters(cells(spark, d))
+
+
+@query(f""", c AS (SELECT table_id, dense_rank() OVER (PARTITION BY table_id ORDER BY row_idx) - 1 AS r, col_idx, {S} AS text FROM cells WHERE EXISTS (SELECT 1 FROM cells o WHERE o.table_id = cells.table_id AND o.row_idx = cells.row_idx AND {S.replace('text', 'o.text')} <> '')),
+w AS (SELECT table_id, max(col_idx) AS last FROM c WHERE r = 0 GROUP BY 1), n AS (SELECT c.* FROM c JOIN w USING (table_id) WHERE col_idx <= last),
+k AS (SELECT table_id, col_idx, row_number() OVER (PARTITION BY table_id ORDER BY col_idx) - 1 AS place FROM (SELECT DISTINCT table_id, col_idx FROM n WHERE text <> '') x)
+SELECT s.table_id, CAST(s.r AS INT) AS row_idx, CAST(place AS INT) AS col_idx, coalesce(n.text, '') AS text FROM (SELECT DISTINCT table_id, r FROM n) s JOIN k USING (table_id) LEFT JOIN n ON n.table_id = s.table_id AND n.r = s.r AND n.col_idx = k.col_idx""", RAGGED)
+def dense_grid(spark: SparkSession, d: str) -> DataFrame:
+    return E.dense_grid(_ragged(spark, d))
+
+
+@query(""", sh AS (SELECT table_id, max(row_idx) + 1 AS n_rows, max(col_idx) + 1 AS width FROM cells GROUP BY 1),
+mv AS (SELECT a.table_id AS source, b.table_id AS target, b.width, b.n_rows + coalesce(sum(a.n_rows) OVER (PARTITION BY b.table_id ORDER BY a.table_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sh a JOIN sh b ON b.table_id = a.table_id // 4 * 4 WHERE a.table_id % 4 IN (1, 3)),
+sl AS (SELECT *, unnest(range(width)) AS c FROM (SELECT DISTINCT table_id, row_idx FROM cells) x JOIN mv ON source = table_id)
+SELECT * FROM cells WHERE table_id NOT IN (SELECT source FROM mv)
+UNION ALL SELECT target, CAST(sl.row_idx + below AS INT), CAST(c AS INT), CASE WHEN o.table_id IS NULL THEN '' ELSE o.text END FROM sl LEFT JOIN cells o ON o.table_id = source AND o.row_idx = sl.row_idx AND o.col_idx = c""", RAGGED)
+def append_tables(spark: SparkSession, d: str) -> DataFrame:
+    c = _ragged(spark, d)
+    pairs = c.where("table_id % 4 in (1, 3)").select(F.col("table_id").alias("source"), F.expr("table_id div 4 * 4").alias("target")).distinct()
+    return E.append_tables(c, pairs)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
