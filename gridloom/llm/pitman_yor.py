@@ -1,17 +1,18 @@
 """Hierarchical Pitman-Yor language model over all documents.
 
-Words are seated in restaurants of their preceding word (hashed to a fixed
-number of contexts), whose new tables are customers of one shared parent
-restaurant, whose base is uniform.  A Gibbs sweep takes the customers of a dish
-out of a context restaurant and seats them anew, for all dishes of a bucket of
-words side by side; between sweeps the buckets exchange only the number of
-tables per context.  Texts are scored with the predictive probabilities
-averaged over the sweeps after the burn-in.
+Words are seated in restaurants of their preceding word (by its 64-bit hash), whose new
+tables are customers of one shared parent restaurant, whose base is uniform.  A
+Gibbs sweep takes the customers of a dish out of a context restaurant and seats
+them anew, for all dishes of a bucket of words side by side; between sweeps the
+buckets exchange only the number of tables per context: each sends those of its
+contexts to ranges of context hashes, which add up and answer.  Texts are scored
+with the predictive probabilities averaged over the sweeps after the burn-in.
 
 The corpus is cut into chunks of some million tokens.  A chunk sends each bucket
 of words (a range of their hashes) its distinct word-context pairs with counts,
 packed as arrays; a bucket answers with probabilities in the same order.  So
-shuffles move distinct pairs of a chunk, never one row per token.
+shuffles move distinct pairs of a chunk, never one row per token.  A word with
+many pairs is spread over buckets of its own, by ranges of the context hashes.
 """
 
 from __future__ import annotations
@@ -26,15 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, remove, scratch, stored, tidy
+from .common import exists, release, remove, scratch, stored, tidy
 
-CONTEXT_BITS = 18
-CONTEXTS = 1 << CONTEXT_BITS
 CHUNK_TOKENS, BUCKET_BYTES = 3_000_000, 12 << 20
-RANGES = 64
+#: A word with more pairs than that, added up over the chunks, gets a bucket for each so many.
+HOT_PAIRS = 1 << 18
+#: Parts of the buckets whose pairs are shuffled one after another, as shuffle files take disk.
+WAVES = 4
 THETA = 1.0
 END_HASH = 0x5851F42D4C957F2D
-PARTS = "bucket long, kind int, chunk long, a binary, b binary, c binary, d binary"
+PARTS = "bucket long, kind int, chunk long, pos long, a binary, b binary, c binary, d binary, e binary"
+LOW = np.uint64(2**32 - 1)
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -72,46 +75,81 @@ class Chunk:
         self.streams.append(stream)
         self.total += len(stream)
 
-    def rows(self, number: int, buckets: int) -> list[tuple]:
-        """Rows of the chunk for the buckets (kind 2), and its tokens as positions in what they answer (kind -1)."""
+    def rows(self, number: int, buckets: int, least: int) -> list[tuple]:
+        """Rows of the chunk for the buckets (kind 2), its tokens as positions in what they answer (kind -1), and its words with ``least`` pairs or more (kind 4)."""
         hashes = np.fromiter(itertools.chain((END_HASH,), map(xxhash.xxh3_64_intdigest, self.words)), np.uint64, len(self.words) + 1)
-        stream = np.concatenate(self.streams)
         order = np.argsort(hashes)
         rank = np.empty(len(order), np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
-        context = (hashes >> np.uint64(64 - CONTEXT_BITS))[np.append(np.uint32(0), stream[:-1])]
-        pairs, where = np.unique(rank[stream] << np.uint64(CONTEXT_BITS) | context, return_inverse=True)
+        stream = rank[np.concatenate(self.streams)]
+        pairs, where = np.unique(stream << np.uint64(32) | np.append(rank[:1], stream[:-1]), return_inverse=True)
         train = np.repeat(np.array(self.train, bool), self.sizes)
         counts = np.bincount(where[train], minlength=len(pairs)).astype(np.uint32)
-        word = (pairs >> np.uint64(CONTEXT_BITS)).astype(np.int64)
-        per_word = np.bincount(word, minlength=len(order)).astype(np.uint32)
+        per_word = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(order)).astype(np.uint32)
         hashes, first = hashes[order], np.append(0, np.cumsum(per_word, dtype=np.int64))
-        contexts = (pairs & np.uint64(CONTEXTS - 1)).astype(np.uint32)
+        contexts = (pairs & LOW).astype(np.int64)
         bounds = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
         out = []
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[k], bounds[k + 1]
             own = slice(first[a], first[b])
-            out.append((k, 2, number, squeeze(hashes[a:b]), squeeze(per_word[a:b]), squeeze(contexts[own]), squeeze(counts[own])))
-        out.append((-1, -1, number, squeeze(where.astype(np.uint32)), squeeze(np.array(self.sizes, np.uint32)), squeeze(per_word), None))
+            out.append(request(k, number, int(first[a]), hashes[a:b], per_word[a:b], hashes[contexts[own]], counts[own]))
+        often = per_word >= least
+        out.append((-1, 4, number, 0, squeeze(hashes[often]), squeeze(per_word[often]), None, None, None))
+        out.append((-1, -1, number, 2**62, squeeze(where.astype(np.uint32)), squeeze(np.array(self.sizes, np.uint32)), None, None, None))
         return out
 
 
+def request(bucket: int, chunk: int, pos: int, words: np.ndarray, per_word: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> tuple:
+    """A row of pairs from ``pos`` on: words, pairs per word, their contexts as positions in the last array of hashes, counts."""
+    distinct, which = np.unique(contexts, return_inverse=True)
+    return bucket, 2, chunk, pos, squeeze(words), squeeze(per_word), squeeze(which.astype(np.uint32)), squeeze(counts), squeeze(distinct)
+
+
+def spread(row: tuple, hot: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+    """A row of pairs, cut where it has hot words; the pairs of word h of ``hot`` go to the buckets from offsets[h] to offsets[h + 1], by context."""
+    words = loose(row[4], "<u8")
+    found = np.flatnonzero(np.isin(words, hot))
+    if not len(found):
+        return [row]
+    per_word, contexts, counts = loose(row[5], "<u4"), loose(row[8], "<u8")[loose(row[6], "<u4")], loose(row[7], "<u4")
+    first, out, before = np.append(0, np.cumsum(per_word, dtype=np.int64)), [], 0
+
+    def add(bucket, a, b, i, j):
+        if i < j:
+            out.append(request(bucket, row[2], row[3] + int(i), words[a:b], per_word[a:b] if b - a > 1 else np.array([j - i], np.uint32), contexts[i:j], counts[i:j]))
+
+    for w in found.tolist():
+        add(row[0], before, w, first[before], first[w])
+        h = int(np.searchsorted(hot, words[w]))
+        pieces = int(offsets[h + 1] - offsets[h])
+        bounds = first[w] + np.searchsorted(bucket_of(contexts[first[w] : first[w + 1]], pieces), np.arange(pieces + 1))
+        for piece in range(pieces):
+            add(int(offsets[h]) + piece, w, w + 1, bounds[piece], bounds[piece + 1])
+        before = w + 1
+    add(row[0], before, len(words), first[before], first[-1])
+    return out
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of a hash: a range of the hashes."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+NAMES = [x.split()[0] for x in PARTS.split(", ")]
+
+
 def batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "chunk", "a", "b", "c", "d"])
+    columns = list(zip(*rows, strict=True)) or [[]] * len(KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One (words, pairs per word, contexts, counts) of several; pairs without a count are left out."""
-    words = np.unique(np.concatenate([p[0] for p in parts]))
-    keys = np.concatenate([np.repeat(np.searchsorted(words, w).astype(np.uint64), n) << np.uint64(CONTEXT_BITS) | c for w, n, c, _ in parts])
+def merge(parts: list[tuple], keep_words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One (words, pairs per word, contexts, counts, context hashes) of several; pairs without a count are left out, their contexts stay."""
+    words, hashes = np.unique(np.concatenate([p[0] for p in parts])), np.unique(np.concatenate([p[4] for p in parts]))
+    place = lambda p: np.searchsorted(hashes, p[4]).astype(np.uint64)[p[2]]
+    keys = np.concatenate([np.repeat(np.searchsorted(words, p[0]).astype(np.uint64), p[1]) << np.uint64(32) | place(p) for p in parts])
     counts = np.concatenate([p[3] for p in parts])
     keys, counts = keys[counts > 0], counts[counts > 0]
     order = np.argsort(keys, kind="stable")
@@ -119,9 +157,9 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) ->
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     counts = np.add.reduceat(counts, first) if len(first) else counts
     keys = keys[first]
-    word = (keys >> np.uint64(CONTEXT_BITS)).astype(np.int64)
-    used, per_word = np.unique(word, return_counts=True)
-    return words[used], per_word.astype(np.uint32), (keys & np.uint64(CONTEXTS - 1)).astype(np.uint32), counts.astype(np.uint64)
+    per_word = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(words))
+    used = np.ones(len(words), bool) if keep_words else per_word > 0
+    return words[used], per_word[used].astype(np.uint32), (keys & LOW).astype(np.uint32), counts.astype(np.uint64), hashes
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
@@ -151,28 +189,39 @@ def seat(rng: np.random.Generator, customers: np.ndarray, weight: np.ndarray, di
 
 
 class Restaurants:
-    """The part of the model that one bucket of words holds."""
+    """The part of the model that one bucket of words holds; ``hot`` is the number of its word if that is spread over buckets."""
 
-    def __init__(self, bucket: int, words: np.ndarray, per_word: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
-        self.bucket, self.words, self.contexts, self.counts = bucket, words, contexts, counts
-        self.first = np.cumsum(per_word, dtype=np.int64) - per_word
+    def __init__(self, bucket: int, words: np.ndarray, per_word: np.ndarray, contexts: np.ndarray, counts: np.ndarray, hashes: np.ndarray, hot: int | None = None):
+        self.bucket, self.words, self.contexts, self.counts, self.hashes, self.hot = bucket, words, contexts, counts, hashes, hot
         self.word = np.repeat(np.arange(len(words)), per_word)
 
+    def per_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, weights=values, minlength=len(self.words)).astype(float)
+
+    def per_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.contexts, weights=values, minlength=len(self.hashes)).astype(np.uint64)
+
     def parent(self, state: dict, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """P of words in the shared restaurant."""
+        if self.hot is not None:
+            customers, tables = (x[self.hot : self.hot + 1] for x in state["hot"])
         new = (THETA + state["d0"] * state["tables"]) / state["base"]
         return (customers - state["d0"] * tables + new) / (THETA + state["customers"])
 
-    def sweep(self, state: dict, parent: np.ndarray, seed: int) -> np.ndarray:
+    def sweep(self, state: dict, context_tables: np.ndarray, parent: np.ndarray, seed: int) -> np.ndarray:
         """Tables of all pairs, seated anew."""
-        others = np.maximum(state["context_tables"][self.contexts] - 1, 0)
+        others = np.maximum(context_tables[self.contexts].astype(float) - 1, 0)
         return seat(np.random.default_rng((seed, self.bucket)), self.counts, (THETA + state["d1"] * others) * parent[self.word], state["d1"])
 
     def at_parent(self, state: dict, tables: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Customers and tables of words in the shared restaurant."""
-        customers = np.add.reduceat(tables, self.first) if len(self.first) else tables
-        weight = np.full(len(customers), (THETA + state["d0"] * state["tables"]) / state["base"])
-        return customers, seat(np.random.default_rng((seed, self.bucket, 1)), customers, weight, state["d0"])
+        """Customers and tables of words in the shared restaurant; tables of a hot word are seated by the driver, who knows all its customers."""
+        customers = self.per_word(tables)
+        return customers, np.zeros(len(customers)) if self.hot is not None else seat_shared(np.random.default_rng((seed, self.bucket, 1)), state, customers)
+
+
+def seat_shared(rng: np.random.Generator, state: dict, customers: np.ndarray) -> np.ndarray:
+    """Tables of words in the shared restaurant."""
+    return seat(rng, customers, np.full(len(customers), (THETA + state["d0"] * state["tables"]) / state["base"]), state["d0"])
 
 
 def discount(ones: int, twos: int) -> float:
@@ -193,13 +242,13 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, size // BUCKET_BYTES + 1)
+    buckets, least = int(max(16, size // BUCKET_BYTES + 1)), max(1, HOT_PAIRS >> 12)
 
     def count(batches):
         task, number, chunk = TaskContext.get().partitionId(), 0, Chunk()
 
         def flush():
-            rows = chunk.rows(task << 32 | number, buckets)
+            rows = chunk.rows(task << 32 | number, buckets, least)
             out = batch(rows)
             ids = pa.array([None] * (len(rows) - 1) + [chunk.ids], pa.list_(kind_of))
             return pa.RecordBatch.from_arrays([*out.columns, ids], [*out.schema.names, "ids"])
@@ -217,12 +266,39 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
         tidy()
 
     counted = rows.mapInArrow(count, f"{PARTS}, ids array<{kind}>")
-    counted.withColumn("side", F.col("kind")).write.partitionBy("side").parquet(f"{folder}/counted")
+    side = F.when(F.col("kind") == 2, F.concat(F.lit("pairs"), F.col("bucket") % WAVES)).otherwise(F.col("kind").cast("string"))
+    counted.withColumn("side", side).write.partitionBy("side").parquet(f"{folder}/counted")
     read = lambda side: spark.read.schema(counted.schema).parquet(f"{folder}/counted/side={side}")
     if rows.isEmpty():
         return docs.select(F.col(id_col), *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")), *(F.lit(0.0).alias(c) for c in ("base_score", "score")))
-    parts = PARTS.split(", ")
-    requests = read(2).select([p.split()[0] for p in parts])
+    def often(batches):
+        for b in batches:
+            for words, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(loose(words, "<u8").view(np.int64)), pa.array(loose(n, "<u4").astype(np.int64))], ["word", "n"])
+
+    # at most one word for every HOT_PAIRS pairs of the chunks
+    found = read(4).select("a", "b").mapInArrow(often, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_PAIRS).collect()
+    found = sorted((r.word % 2**64, -(-r.n // HOT_PAIRS)) for r in found)
+    hot, offsets = np.array([w for w, _ in found], np.uint64), buckets + np.append(0, np.cumsum([n for _, n in found], dtype=np.int64))
+    placed_in = int(offsets[-1])
+    waves_of_hot = (bucket_of(hot, buckets) % WAVES).tolist()
+
+    def cut(batches):
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield batch(spread(row, hot, offsets))
+        tidy()
+
+    def requests(wave: int) -> DataFrame:
+        if not exists(spark, f"{folder}/counted/side=pairs{wave}"):
+            return spark.createDataFrame([], PARTS)
+        out = read(f"pairs{wave}").select(NAMES)
+        return out.mapInArrow(cut, PARTS) if wave in waves_of_hot else out
+
+    def of_wave(df: DataFrame, wave: int) -> DataFrame:
+        """Rows of the buckets whose pairs ``requests`` has."""
+        spread_over = [x for h, w in enumerate(waves_of_hot) if w == wave for x in range(int(offsets[h]), int(offsets[h + 1]))]
+        return df.where(((F.col("bucket") < buckets) & (F.col("bucket") % WAVES == wave)) | F.col("bucket").isin(spread_over))
 
     def by_bucket(batches, each, end):
         """Runs ``each`` on the rows of a bucket in order, ``end`` when it is over."""
@@ -236,174 +312,234 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
         if now is not None:
             yield from end(now)
 
+    def together(df: DataFrame, waves: int = 1) -> DataFrame:
+        return df.repartition(-(-placed_in // waves), "bucket").sortWithinPartitions("bucket", "kind", "chunk", "pos")
+
+    def restaurants(row) -> Restaurants:
+        own = int(np.searchsorted(offsets, row[0], "right")) - 1 if row[0] >= buckets else None
+        return Restaurants(row[0], *map(loose, row[4:9], ("<u8", "<u4", "<u4", "<u8", "<u8")), own)
+
+    schema = f"{PARTS}, history array<binary>, ones long, twos long, sum_customers double, sum_tables double, per_context binary, per_context_customers binary, pair_ones long, pair_twos long, n long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def result(row: tuple, history: list[bytes], tables: np.ndarray, r: Restaurants, customers: np.ndarray, at_parent: np.ndarray, first: bool) -> pa.RecordBatch:
+        """The row of a bucket with the states (customers and tables of words) that later steps need, and what other buckets need to know."""
+        ones = lambda x, k: int((x == k).sum()) if first else 0
+        whole = customers if r.hot is None else np.empty(0)
+        own = (*row[:9], [*history, squeeze(customers), squeeze(at_parent)], ones(whole, 1), ones(whole, 2), float(customers.sum()), float(at_parent.sum()))
+        own += (squeeze(r.per_context(tables)), squeeze(r.per_context(r.counts)) if first else None, ones(r.counts, 1), ones(r.counts, 2), int(r.counts.sum()))
+        kinds = [*KINDS, pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(own, kinds, strict=True)], names)
+
     def gather(batches):
+        """The pairs of each bucket, with one table each at first."""
         held, pending = [], 0
 
         def each(row):
             nonlocal held, pending
-            contexts = loose(row[5], "<u4")
-            held.append((loose(row[3], "<u8"), loose(row[4], "<u4"), contexts, loose(row[6], "<u4").astype(np.uint64)))
+            contexts = loose(row[6], "<u4")
+            held.append((loose(row[4], "<u8"), loose(row[5], "<u4"), contexts, loose(row[7], "<u4").astype(np.uint64), loose(row[8], "<u8")))
             pending += len(contexts)
             if pending > 6_000_000:
-                held = [merge(held)]
+                held = [merge(held, row[0] >= buckets)]
                 pending = 0
             return ()
 
         def end(bucket):
             nonlocal held, pending
-            words, per_word, contexts, counts = merge(held)
+            arrays = merge(held, bucket >= buckets)
             held, pending = [], 0
-            yield batch([(bucket, 0, 0, squeeze(words), squeeze(per_word), squeeze(contexts), squeeze(counts))])
+            row = (bucket, 0, 0, 0, *map(squeeze, arrays))
+            r = restaurants(row)
+            tables = np.ones(len(r.counts))
+            customers = r.per_word(tables)
+            yield result(row, [], tables, r, customers, np.ones(len(customers)) if r.hot is None else np.zeros(len(customers)), True)
 
         yield from by_bucket(batches, each, end)
         tidy()
 
-    placed = requests.repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "chunk")
-    model = stored(placed.mapInArrow(gather, PARTS), f"{folder}/model")
-    release(spark)
+    def outgoing(batches):
+        """What a bucket has in its contexts, a row for each range of their hashes."""
+        for b in batches:
+            for bucket, hashes, tables, customers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                arrays = [loose(x, "<u8") for x in (hashes, tables, customers) if x is not None]
+                bounds = np.searchsorted(bucket_of(arrays[0], buckets), np.arange(buckets + 1))
+                out = []
+                for r in np.flatnonzero(np.diff(bounds)).tolist():
+                    own = [squeeze(x[bounds[r] : bounds[r + 1]]) for x in arrays]
+                    out.append((r, 0, bucket, 0, *own, *[None] * (5 - len(own))))
+                yield batch(out)
+        tidy()
 
-    def restaurants(row) -> Restaurants:
-        return Restaurants(row[0], *map(loose, row[3:7], ("<u8", "<u4", "<u4", "<u8")))
+    def totals(state: DataFrame, number: int) -> DataFrame:
+        """For each bucket and range of context hashes, the sums over all buckets for the bucket's contexts, in its order (kind 1)."""
 
-    def ranges_of(values: np.ndarray, contexts: np.ndarray) -> list[bytes]:
-        dense = np.bincount(contexts, weights=values, minlength=CONTEXTS).astype(np.int64)
-        return [squeeze(x) for x in dense.reshape(RANGES, -1)]
+        def answers(batches):
+            held = []
 
-    schema = f"{PARTS}, history array<binary>, ones long, twos long, sum_customers double, sum_tables double, per_context array<binary>, per_context_customers array<binary>, pair_ones long, pair_twos long, n long"
-    names = [x.split()[0] for x in schema.split(", ")]
+            def each(row):
+                held.append(row)
+                return ()
 
-    def result(row: tuple, history: list[bytes], tables: np.ndarray, r: Restaurants, customers: np.ndarray, at_parent: np.ndarray, first: bool) -> pa.RecordBatch:
-        """The row of a bucket with the states (customers and tables of words) that later steps need, and what other buckets need to know."""
-        ones = lambda x, k: int((x == k).sum()) if first else 0
-        own = (*row[:7], [*history, squeeze(customers), squeeze(at_parent)], ones(customers, 1), ones(customers, 2), float(customers.sum()), float(at_parent.sum()))
-        own += (ranges_of(tables, r.contexts), ranges_of(r.counts, r.contexts) if first else [], ones(r.counts, 1), ones(r.counts, 2), int(r.counts.sum()))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(own, kinds, strict=True)], names)
-
-    def start(batches):
-        """Each pair has one table at first."""
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                r = restaurants(row)
-                tables = np.ones(len(r.counts))
-                customers = np.add.reduceat(tables, r.first) if len(r.first) else tables
-                yield result(row, [], tables, r, customers, np.ones(len(customers)), True)
-        tidy()
+            def end(r):
+                hashes = [loose(x[4], "<u8") for x in held]
+                at = np.cumsum([0, *map(len, hashes)])
+                _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+                sums = [np.bincount(which, weights=np.concatenate([loose(x[c], "<u8") for x in held])).astype(np.uint64)[which] if held[0][c] is not None else None for c in (5, 6)]
+                yield batch([(x[2], 1, number, r, *(None if s is None else squeeze(s[i:j]) for s in sums), None, None, None) for x, i, j in zip(held, at, at[1:], strict=False)])
+                held.clear()
 
-    def add_up(state: DataFrame, column: str) -> np.ndarray:
-        """Sums of all buckets for every context: a fixed number of values, summed range by range."""
+            yield from by_bucket(batches, each, end)
+            tidy()
 
-        def some(key, group):
-            return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), "part": [squeeze(sum(loose(x, "<i8") for x in group.column("part").to_pylist()))]})
+        sent = state.select("bucket", "e", "per_context", "per_context_customers").mapInArrow(outgoing, PARTS)
+        sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
+        return stored(sent.mapInArrow(answers, PARTS), f"{folder}/totals-{number}")
 
-        each = state.select("bucket", F.posexplode(column).alias("r", "part"))
-        # in two steps, so that a range is not one task's work
-        half = each.withColumn("s", F.pmod("bucket", F.lit(max(1, int(buckets**0.5))))).groupBy("r", "s").applyInArrow(some, "r int, part binary")
-        out = np.zeros((RANGES, CONTEXTS // RANGES), np.int64)
-        for r in half.groupBy("r").applyInArrow(some, "r int, part binary").collect():
-            out[r.r] = loose(r.part, "<i8")
-        return out.ravel()
+    def hot_customers(state: DataFrame) -> np.ndarray:
+        """Customers of each hot word in the shared restaurant, and its training tokens."""
+        out = np.zeros((2, len(hot)))
+        for r in state.where(F.col("bucket") >= buckets).select("bucket", "sum_customers", "n").collect() if len(hot) else ():
+            out[:, int(np.searchsorted(offsets, r.bucket, "right")) - 1] += r.sum_customers, r.n
+        return out
 
-    now = stored(model.mapInArrow(start, schema), f"{folder}/0")
+    for w in range(WAVES):
+        together(requests(w), WAVES).mapInArrow(gather, schema).write.parquet(f"{folder}/0/{w}")
+        release(spark)
+    now = spark.read.schema(schema).parquet(*(f"{folder}/0/{w}" for w in range(WAVES)))
     sums = now.agg(*(F.sum(c).alias(c) for c in ("ones", "twos", "sum_customers", "sum_tables", "pair_ones", "pair_twos", "n"))).first()
-    remove(spark, f"{folder}/model")
-    n_train, vocabulary = sums.n or 0, int(sums.sum_tables or 0)
+    customers, hot_counts = hot_customers(now)
+    n_train, vocabulary = sums.n or 0, int(sums.sum_tables or 0) + int((customers > 0).sum())
     fixed = {"base": vocabulary + 1.0, "d0": discount(sums.ones or 0, sums.twos or 0), "d1": discount(sums.pair_ones or 0, sums.pair_twos or 0)}
-    context_customers = add_up(now, "per_context_customers")
-    states = [fixed | {"customers": sums.sum_customers or 0.0, "tables": sums.sum_tables or 0.0, "context_tables": add_up(now, "per_context")}]
+    states = [fixed | {"customers": sums.sum_customers or 0.0, "tables": float(vocabulary), "hot": (customers, np.minimum(customers, 1))}]
+    in_contexts = [totals(now, 0)]
 
     for k in range(1, sweeps + 1):
         sent = spark.sparkContext.broadcast(states[-1])
 
         def once(batches, sent=sent, k=k):
-            state = sent.value
-            for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    r, history = restaurants(row), row[7]
-                    tables = r.sweep(state, r.parent(state, loose(history[-2], "<f8"), loose(history[-1], "<f8")), seed + k)
-                    customers, at_parent = r.at_parent(state, tables, seed + k)
-                    yield result(row, history if k > burn_in else [], tables, r, customers, at_parent, False)
+            state, held, tables_of = sent.value, None, []
+
+            def each(row):
+                nonlocal held
+                if row[1] == 0:
+                    held = row
+                else:
+                    tables_of.append(loose(row[4], "<u8"))
+                return ()
+
+            def end(bucket):
+                r, history = restaurants(held), held[9]
+                tables = r.sweep(state, np.concatenate(tables_of), r.parent(state, loose(history[-2], "<f8"), loose(history[-1], "<f8")), seed + k)
+                tables_of.clear()
+                customers, at_parent = r.at_parent(state, tables, seed + k)
+                yield result(held, history if k > burn_in else [], tables, r, customers, at_parent, False)
+
+            yield from by_bucket(batches, each, end)
             tidy()
 
-        now = stored(now.select(names[:8]).mapInArrow(once, schema), f"{folder}/{k}")
+        joined = together(now.select(names[:10]).unionByName(in_contexts[-1].drop("b"), allowMissingColumns=True))
+        now = stored(joined.mapInArrow(once, schema), f"{folder}/{k}")
         remove(spark, f"{folder}/{k - 1}")
         sums = now.agg(F.sum("sum_customers").alias("c"), F.sum("sum_tables").alias("t")).first()
-        states.append(fixed | {"customers": sums.c or 0.0, "tables": sums.t or 0.0, "context_tables": add_up(now, "per_context")})
-    release(spark)
+        customers = hot_customers(now)[0]
+        tables = seat_shared(np.random.default_rng((seed + k, buckets, 2)), states[-1], customers)
+        states.append(fixed | {"customers": sums.c or 0.0, "tables": (sums.t or 0.0) + float(tables.sum()), "hot": (customers, tables)})
+        in_contexts.append(totals(now, k))
+        if 0 < k - 1 < burn_in:
+            remove(spark, f"{folder}/totals-{k - 1}")
+        release(spark)
 
     used = range(burn_in, sweeps + 1)  # the first of them only seats the next
-    sent = spark.sparkContext.broadcast(({k: states[k] for k in used}, context_customers))
+    sent = spark.sparkContext.broadcast(({k: states[k] for k in used}, hot_counts))
 
     def answer(batches):
-        states, of_context = sent.value
-        r, parents, mean, keys = None, {}, None, None
+        states, hot_counts = sent.value
+        r, parents, mean, keys, of_contexts, held = None, {}, None, None, {}, None
+
+        def ready():
+            """The model of a bucket, once all its rows are there."""
+            nonlocal r, mean, keys, held
+            r, history = restaurants(held), held[9]
+            held = None
+            for k in of_contexts:
+                of_contexts[k] = np.concatenate(of_contexts[k]).astype(float)
+            for j, k in enumerate(used):
+                parents[k] = r.parent(states[k], loose(history[2 * j], "<f8"), loose(history[2 * j + 1], "<f8"))
+            if r.hot is not None and not hot_counts[r.hot]:
+                r.words = r.words[:0]
+            keys = r.word.astype(np.uint64) << np.uint64(32) | r.contexts.astype(np.uint64)
+            mean = np.zeros(len(keys))
+            for k in used[1:]:
+                tables = r.sweep(states[k - 1], of_contexts[k - 1], parents[k - 1], seed + k)
+                s = states[k]
+                new = THETA + s["d1"] * of_contexts[k][r.contexts]
+                mean += (r.counts - s["d1"] * tables + new * parents[k][r.word]) / (THETA + of_contexts["all"][r.contexts])
+            mean /= len(used) - 1
 
         def each(row):
-            nonlocal r, mean, keys
-            bucket, what, chunk, a, b, c, _, history = row
+            nonlocal held
+            bucket, what, chunk, pos, a, b, c, _, e, _ = row
             if what == 0:
-                r, mean = restaurants(row), None
-                parents.clear()
-                for j, k in enumerate(used):
-                    parents[k] = r.parent(states[k], loose(history[2 * j], "<f8"), loose(history[2 * j + 1], "<f8"))
-            else:
-                if r is None or r.bucket != bucket:  # nothing was learned for this bucket
-                    r, mean = Restaurants(bucket, *(np.empty(0, t) for t in ("<u8", "<u4", "<u4", "<u8"))), None
-                    parents.clear()
-                    parents.update({k: np.empty(0) for k in used})
-                kept = [k for k in parents if k - 1 in parents]
-                if mean is None:
-                    keys = r.word.astype(np.uint64) << np.uint64(CONTEXT_BITS) | r.contexts.astype(np.uint64)
-                    mean = np.zeros(len(keys))
-                    for k in kept:
-                        tables = r.sweep(states[k - 1], parents[k - 1], seed + k)
-                        s = states[k]
-                        new = THETA + s["d1"] * s["context_tables"][r.contexts]
-                        mean += (r.counts - s["d1"] * tables + new * parents[k][r.word]) / (THETA + of_context[r.contexts])
-                    mean /= len(kept)
-                words, per_word, contexts = loose(a, "<u8"), loose(b, "<u4"), loose(c, "<u4")
-                at = np.searchsorted(r.words, words)
-                at[at == len(r.words)] = 0
-                known = r.words[at] == words if len(r.words) else np.zeros(len(words), bool)
-                word = np.repeat(np.where(known, at, -1), per_word)
-                p = np.zeros(len(word))
-                for k in kept:
-                    s = states[k]
-                    unseen = (THETA + s["d0"] * s["tables"]) / s["base"] / (THETA + s["customers"])
-                    below = np.where(word >= 0, parents[k][word], unseen) if len(r.words) else np.full(len(word), unseen)
-                    p += (THETA + s["d1"] * s["context_tables"][contexts]) * below / (THETA + of_context[contexts]) / len(kept)
-                wanted = word.astype(np.uint64) << np.uint64(CONTEXT_BITS) | contexts
-                if len(keys):
-                    where = np.searchsorted(keys, wanted)
-                    where[where == len(keys)] = 0
-                    p = np.where((keys[where] == wanted) & (word >= 0), mean[where], p)
-                totals = np.zeros(len(words), np.uint64)
-                if len(r.words):
-                    totals[known] = np.add.reduceat(r.counts, r.first)[at[known]]
-                yield batch([(bucket, 3, chunk, squeeze(np.log10(p).astype(np.float32)), squeeze(totals), None, None)])
+                held = row
+                of_contexts.clear()
+                return
+            if what == 1:
+                if chunk in used:
+                    of_contexts.setdefault(chunk, []).append(loose(a, "<u8"))
+                if b is not None:
+                    of_contexts.setdefault("all", []).append(loose(b, "<u8"))
+                return
+            if held is not None:
+                ready()
+            words, per_word = loose(a, "<u8"), loose(b, "<u4")
+            contexts = np.searchsorted(r.hashes, loose(e, "<u8"))[loose(c, "<u4")]  # the bucket has all contexts it is asked for
+            at = np.searchsorted(r.words, words)
+            at[at == len(r.words)] = 0
+            known = r.words[at] == words if len(r.words) else np.zeros(len(words), bool)
+            word = np.repeat(np.where(known, at, -1), per_word)
+            p = np.zeros(len(word))
+            for k in used[1:]:
+                s = states[k]
+                unseen = (THETA + s["d0"] * s["tables"]) / s["base"] / (THETA + s["customers"])
+                below = np.where(word >= 0, parents[k][word], unseen) if len(r.words) else np.full(len(word), unseen)
+                p += (THETA + s["d1"] * of_contexts[k][contexts]) * below / (THETA + of_contexts["all"][contexts]) / (len(used) - 1)
+            wanted = word.astype(np.uint64) << np.uint64(32) | contexts.astype(np.uint64)
+            if len(keys):
+                where = np.searchsorted(keys, wanted)
+                where[where == len(keys)] = 0
+                p = np.where((keys[where] == wanted) & (word >= 0), mean[where], p)
+            totals = np.zeros(len(words), np.uint64)
+            if len(r.words):
+                totals[known] = (r.per_word(r.counts) if r.hot is None else hot_counts[r.hot : r.hot + 1])[at[known]]
+            yield batch([(bucket, 3, chunk, pos, squeeze(np.log10(p).astype(np.float32)), squeeze(totals), b, None, None)])
 
         yield from by_bucket(batches, each, lambda bucket: ())
         tidy()
 
-    model = now.select(names[:8])
-    asked = model.unionByName(requests.drop("d"), allowMissingColumns=True).repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "kind", "chunk")
-    answers = stored(asked.mapInArrow(answer, PARTS), f"{folder}/answers")
-    remove(spark, f"{folder}/counted/side=2")
-    remove(spark, f"{folder}/{sweeps}")
+    for w in range(WAVES):
+        asked = of_wave(now.select(names[:10]), w).unionByName(requests(w).drop("d"), allowMissingColumns=True)
+        for k in {0, *used}:
+            asked = asked.unionByName(of_wave(in_contexts[k], w), allowMissingColumns=True)
+        together(asked, WAVES).mapInArrow(answer, PARTS).write.parquet(f"{folder}/answers/{w}")
+        remove(spark, f"{folder}/counted/side=pairs{w}")
+        release(spark)
+    answers = spark.read.schema(PARTS).parquet(*(f"{folder}/answers/{w}" for w in range(WAVES)))
+    for done in (sweeps, *(f"totals-{k}" for k in {0, *used})):
+        remove(spark, f"{folder}/{done}")
     release(spark)
 
     def finish(batches):
         probability, known = [], []
         base = np.log10(n_train + 0.5 * (vocabulary + 1))
         for b in batches:
-            for _, what, _, a, second, c, _, ids in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for _, what, _, _, a, second, c, _, _, ids in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if what == 3:
                     probability.append(loose(a, "<f4"))
-                    known.append(loose(second, "<u8"))
+                    known.append(np.repeat(loose(second, "<u8"), loose(c, "<u4")))
                     continue
-                where, sizes, per_word = loose(a, "<u4"), loose(second, "<u4").astype(np.int64), loose(c, "<u4")
-                counts = np.concatenate(known)
-                counts = np.repeat(counts, per_word)[where]
+                where, sizes = loose(a, "<u4"), loose(second, "<u4").astype(np.int64)
+                counts = np.concatenate(known)[where]
                 first = np.cumsum(sizes) - sizes
                 own = np.add.reduceat(np.concatenate(probability)[where].astype(float), first)
                 simple = np.add.reduceat(np.log10(counts + 0.5) - base, first)
@@ -413,7 +549,7 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
         tidy()
 
     tokens = read(-1)
-    ready = tokens.withColumn("bucket", F.lit(2**62)).unionByName(answers, allowMissingColumns=True)
-    ready = ready.repartition(int(buckets), "chunk").sortWithinPartitions("chunk", "bucket")
+    ready = tokens.unionByName(answers, allowMissingColumns=True)
+    ready = ready.repartition(buckets, "chunk").sortWithinPartitions("chunk", "pos")
     out = ready.mapInArrow(finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

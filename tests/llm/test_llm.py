@@ -137,6 +137,26 @@ def test_pitman_yor(docs, rows, none):
     assert all(r.train_tokens == 0 and np.isfinite(r.score) for r in pitman_yor.score(docs, F.lit(False)).collect())
 
 
+def test_pitman_yor_keeps_contexts_apart(spark, docs, monkeypatch):
+    import xxhash
+
+    seen = {}
+    for k in range(5000):  # two words whose hashes agree in the first 18 bits
+        a = seen.setdefault(xxhash.xxh3_64_intdigest(f"w{k}".encode()) >> 46, k)
+        if a != k:
+            break
+    texts = [f"w{a} x"] * 200 + [f"w{k} unknown", "other unknown"]
+    few = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score(few, F.col("doc_id") < 200).collect()}
+    assert got[200] == got[201]
+    held = F.col("doc_id") % 5 == 1
+    whole = {r.doc_id: r for r in pitman_yor.score(docs, ~held).collect()}
+    monkeypatch.setattr(pitman_yor, "HOT_PAIRS", 100)  # many words are spread over buckets
+    for r in pitman_yor.score(docs, ~held).collect():
+        own = whole[r.doc_id]
+        assert r[:4] == own[:4] and r.base_score == pytest.approx(own.base_score) and r.score == pytest.approx(own.score, rel=0.05, abs=0.3)
+
+
 def test_spotsigs(spark, docs, rows, none):
     got = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
     order = sorted((r[0] for r in rows), reverse=True)
