@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -124,13 +125,15 @@ def states_before(kinds: np.ndarray, step: np.ndarray, block: int = BLOCK, tail:
 class ByteBPE:
     """Encoder and decoder of one vocabulary.
 
-    vocab: bytes of each token -> id; merges: (left id, right id) -> (priority, id).
+    vocab: bytes of each token -> id; merges: (left id, right id) -> (priority, id);
+    added: strings that are cut out of texts before anything else -> id.
     """
 
-    def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], whole_first: bool):
-        self.vocab, self.whole_first = vocab, whole_first
-        self.token = [b""] * (max(vocab.values()) + 1)
-        for b, i in vocab.items():
+    def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], whole_first: bool, added: dict[str, int] | None = None):
+        self.vocab, self.whole_first, self.added = vocab, whole_first, added or {}
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.token = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
+        for b, i in (*vocab.items(), *((t.encode(), i) for t, i in self.added.items())):
             self.token[i] = b
         self.of_byte = np.array([vocab[bytes([b])] for b in range(256)], np.int32)
         pairs = sorted((a << 32 | b, p, i) for (a, b), (p, i) in merges.items())
@@ -156,8 +159,13 @@ class ByteBPE:
 
     @classmethod
     def from_json(cls, data: bytes) -> ByteBPE:
-        """From the content of a tokenizer file with a byte-level BPE model: its vocabulary and its list of merges."""
-        model = json.loads(data)["model"]
+        """From the content of a tokenizer file with a byte-level BPE model: its vocabulary, its list of merges and its added tokens."""
+        whole = json.loads(data)
+        model, added = whole["model"], {}
+        for t in whole.get("added_tokens") or ():
+            if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+                raise ValueError(f"added token {t['content']!r}: single_word, lstrip and rstrip aren't supported")
+            added[t["content"]] = t["id"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         back = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
@@ -170,7 +178,7 @@ class ByteBPE:
             a, b = m.split(" ") if isinstance(m, str) else m
             merges.setdefault((ids[a], ids[b]), (p, ids[a + b]))
         made = {i for _, i in merges.values()} | {vocab[bytes([b])] for b in single}
-        return cls({t: i for t, i in vocab.items() if i in made}, merges, False)
+        return cls({t: i for t, i in vocab.items() if i in made}, merges, False, added)
 
     # -- pre-tokenisation
 
@@ -385,6 +393,19 @@ class ByteBPE:
         return ids, counts, begins, first
 
     def encode_some(self, texts: list[str]) -> list[bytes]:
+        if not self.at_added or not any(map(self.at_added.search, texts)):
+            return self.encode_plain(texts)
+        between, found = [self.at_added.split(t) for t in texts], [self.at_added.findall(t) for t in texts]
+        encoded, out = iter(self.encode_plain([x for own in between for x in own])), []
+        for own in found:
+            parts = [next(encoded)]
+            for t in own:
+                parts += self.added[t].to_bytes(4, "little"), next(encoded)
+            out.append(b"".join(parts))
+        return out
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts in which added tokens don't count."""
         ids, counts, _, first = self.ids_of(texts)
         at = (4 * np.append(0, np.cumsum(counts))[first]).tolist()
         packed = ids.astype("<u4").tobytes()
@@ -404,8 +425,16 @@ class ByteBPE:
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[int]]:
         """Ids, and for each the code point at which its piece begins."""
-        ids, counts, begins, _ = self.ids_of([text])
-        return ids.tolist(), np.repeat(begins, counts).tolist()
+        ids, where, at = [], [], 0
+        for m in (*(self.at_added.finditer(text) if self.at_added else ()), None):
+            own, counts, begins, _ = self.ids_of([text[at : m.start() if m else len(text)]])
+            ids += own.tolist()
+            where += (np.repeat(begins, counts) + at).tolist()
+            if m:
+                ids.append(self.added[m[0]])
+                where.append(m.start())
+                at = m.end()
+        return ids, where
 
     def decode(self, ids: bytes) -> bytes:
         token = self.token

@@ -218,6 +218,21 @@ def test_byte_bpe(spark, docs, rows, none):
     assert byte_bpe.encode(none, RANKS).count() == 0
 
 
+def test_added_tokens(spark):
+    bpe, ranks = byte_bpe.ByteBPE.from_json(byte_bpe.file_bytes(JSON)), byte_bpe.ByteBPE.from_ranks(byte_bpe.file_bytes(RANKS))
+    plain = lambda t: np.frombuffer(bpe.encode_plain([t])[0], "<u4").tolist()
+    end = "<|endoftext|>"
+    texts = ["a" + end + "b", end, end + end, "no token", "", f" one {end}  two\n{end}", "<|endoftext|"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode(texts)]
+    assert got[:3] == [[64, 50256, 65], [50256], [50256, 50256]] and 50256 not in got[6]
+    assert got[3] == plain("no token") and got[4] == [] and got[5] == [*plain(" one "), 50256, *plain("  two\n"), 50256]
+    assert [bpe.decode(np.array(x, "<u4").tobytes()).decode() for x in got] == texts
+    assert bpe.encode_with_offsets(texts[0]) == ([64, 50256, 65], [0, 1, 14])
+    assert 50256 not in np.frombuffer(next(iter(ranks.encode([end]))), "<u4")
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    assert {r.doc_tokens for r in packing.pack(docs, JSON).collect()} == {4}
+
+
 def test_toxicity(spark, none):
     rng = random.Random(3)
     plain = ["house", "river", "garden", "window", "letter", "market"]
