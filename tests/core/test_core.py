@@ -65,3 +65,13 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_scope_and_restore(spark):
+    items = spark.createDataFrame([(1, 1, 1, "total", "total", 0.0, 100.0, 30.0, 110.0), (1, 1, 2, "(1,234) x", "(1234)x", 40.0, 101.0, 70.0, 111.0), (1, 1, 3, "other", "other", 0.0, 120.0, 30.0, 130.0), (1, 1, 4, "77", "77", 40.0, 120.0, 70.0, 130.0)], "doc_id int, page_number int, item_id int, text string, key string, x0 double, y0 double, x1 double, y1 double")
+    regions = spark.createDataFrame([(1, 1, 0, 0.0, 50.0, 119.0, 131.0), (1, 1, 1, 500.0, 600.0, 500.0, 600.0)], "doc_id int, page_number int, region_idx int, r_x0 double, r_x1 double, r_y0 double, r_y1 double")
+    got = {(r.region_idx, r.item_id) for r in J.scoped_items(items, regions).collect()}
+    assert got == {(0, 1), (0, 3)} | {(1, k) for k in (1, 2, 3, 4)}
+    cells = [(1, 1, 1, 0, 1, "1234", "total"), (1, 1, 1, 0, 2, "77", "total"), (1, 1, 1, 1, 1, "77", "other"), (1, 1, 1, 2, 1, "77", "nowhere"), (1, 1, 1, 3, 1, "99", None)]
+    erased = spark.createDataFrame(cells, "doc_id int, page_number int, table_id int, row_idx int, col_idx int, key string, label string")
+    assert {(r.row_idx, r.col_idx) for r in J.restore_in_rows(erased, items).collect()} == {(0, 1), (1, 1), (2, 1)}
