@@ -41,6 +41,15 @@ def gap_columns(items: DataFrame) -> DataFrame:
     return gaps.join(limit, PAGE).where("gap > most").select(*PAGE, F.round(F.col("x") + F.col("gap") / 2, 4).alias("boundary"))
 
 
+def gap_boundaries(items: DataFrame) -> DataFrame:
+    """``gap_columns`` with the outer boundaries, half-way to the page's least x0 and greatest x1; those two themselves without a wide gap."""
+    inner = gap_columns(items)
+    ends = items.groupBy(*PAGE).agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
+    found = ends.join(inner.groupBy(*PAGE).agg(F.min("boundary").alias("first"), F.max("boundary").alias("last")), PAGE, "left")
+    left, right = (F.when(F.col("first").isNull(), F.col(end)).otherwise((F.col(end) + F.col(b)) / 2) for end, b in (("lo", "first"), ("hi", "last")))
+    return inner.unionByName(found.select(*PAGE, F.explode(F.array(left, right)).alias("boundary")).withColumn("boundary", F.round("boundary", 4)))
+
+
 def merge_ranges(numbers: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Runs of consecutive whole numbers as first and last."""
     w = Window.partitionBy(*keys).orderBy(value)

@@ -205,6 +205,14 @@ def gap_columns(spark: SparkSession, d: str) -> DataFrame:
     return G.gap_columns(items(spark, d))
 
 
+@query(f", e AS (SELECT DISTINCT {PG}, x FROM (SELECT {PG}, x0 AS x FROM items UNION ALL SELECT {PG}, x1 FROM items) u), g AS (SELECT *, lead(x) OVER (PARTITION BY {PG} ORDER BY x) - x AS gap FROM e), l AS (SELECT {PG}, greatest(median(gap) * 1.5, 10.0) AS most FROM g WHERE gap IS NOT NULL GROUP BY 1, 2), b AS (SELECT {PG}, round(x + gap / 2, 4) AS boundary FROM g JOIN l USING ({PG}) WHERE gap > most)"
+       f", o AS (SELECT {PG}, min(x0) AS lo, max(x1) AS hi FROM items GROUP BY 1, 2), f AS (SELECT {PG}, min(boundary) AS first, max(boundary) AS last FROM b GROUP BY 1, 2)"
+       f" SELECT * FROM b UNION ALL SELECT {PG}, round(CASE WHEN first IS NULL THEN lo ELSE (lo + first) / 2 END, 4) FROM o LEFT JOIN f USING ({PG})"
+       f" UNION ALL SELECT {PG}, round(CASE WHEN last IS NULL THEN hi ELSE (last + hi) / 2 END, 4) FROM o LEFT JOIN f USING ({PG})", ITEMS_SQL)
+def gap_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return G.gap_boundaries(items(spark, d))
+
+
 RUNS = "SELECT DISTINCT l_suppkey AS doc_id, l_partkey % 97 + 1 AS page_number FROM lineitem"
 
 

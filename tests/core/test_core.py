@@ -75,3 +75,11 @@ def test_whole_scope_and_restore(spark):
     cells = [(1, 1, 1, 0, 1, "1234", "total"), (1, 1, 1, 0, 2, "77", "total"), (1, 1, 1, 1, 1, "77", "other"), (1, 1, 1, 2, 1, "77", "nowhere"), (1, 1, 1, 3, 1, "99", None)]
     erased = spark.createDataFrame(cells, "doc_id int, page_number int, table_id int, row_idx int, col_idx int, key string, label string")
     assert {(r.row_idx, r.col_idx) for r in J.restore_in_rows(erased, items).collect()} == {(0, 1), (1, 1), (2, 1)}
+
+
+def test_gap_boundaries(spark):
+    items = spark.createDataFrame([(1, 1, 0.0, 30.0), (1, 1, 2.0, 32.0), (1, 1, 100.0, 130.0), (1, 1, 102.0, 132.0), (1, 2, 5.0, 9.0)], "doc_id int, page_number int, x0 double, x1 double")
+    inner = {(r.page_number, r.boundary) for r in G.gap_columns(items).collect()}
+    got = {(r.page_number, r.boundary) for r in G.gap_boundaries(items).collect()}
+    found = sorted(b for p, b in inner if p == 1)
+    assert got == inner | {(1, found[0] / 2), (1, (found[-1] + 132) / 2), (2, 5.0), (2, 9.0)}
