@@ -7,7 +7,10 @@ associative, so the text is cut into equal blocks, the functions of each block
 are composed for all blocks side by side, the block results are chained, and a
 second sweep writes the state before each character.  A table of (class, state)
 says where a piece begins.  Pieces are cut as slices, looked up in a bounded
-cache by hash, and missing ones are merged together in numpy, a batch at a time.
+cache by hash and compared in full, and missing ones are merged together in
+numpy, a batch at a time.  Long texts are scanned window by window.  Every id
+keeps the byte at which it begins, so any span of a text is decoded from its
+ids alone.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ OTHER, LETTER, NUMBER, SPACE, LEAD_SPACE, LAST_SPACE, END, QUOTE1, QUOTE2 = rang
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACE, AFTER_LEAD, TWO_TO_COME, ONE_TO_COME = range(8)
 NONE = np.int32(2**31 - 1)
 #: Characters that are scanned together, and pieces that a worker remembers.
-BATCH_CHARS, CACHE_PIECES, BLOCK = 500_000, 400_000, 512
-#: Of the polynomial hash of pieces; a match is checked against length and both ends of the piece.
+BATCH_CHARS, CACHE_PIECES, CACHE_POINTS, BLOCK = 500_000, 400_000, 8_000_000, 512
+#: Of the polynomial hash of pieces; a match is compared character by character.
 BASE = np.uint64(0xA24BAED4963EE407)
 
 
@@ -142,6 +145,16 @@ class ByteBPE:
         self.merged = np.array([x[2] for x in pairs], np.int32)
         self.id_of_priority = np.zeros(int(self.priority.max(initial=0)) + 1, np.int32)
         self.id_of_priority[self.priority] = self.merged
+        # an open-addressed table of the merges: the key in its slot or, if that is taken, in one of the next
+        self.bits = max(4, (4 * len(self.keys)).bit_length())
+        self.slot_key, self.slot_priority = np.full((1 << self.bits) + 64, -1, np.int64), np.full((1 << self.bits) + 64, NONE, np.int32)
+        for key, priority, slot in zip(self.keys.tolist(), self.priority.tolist(), self.slot_of(self.keys).tolist(), strict=True):
+            while self.slot_key[slot] >= 0:
+                slot += 1
+            self.slot_key[slot], self.slot_priority[slot] = key, priority
+        lengths = np.fromiter(map(len, self.token), np.int64, len(self.token))
+        self.token_bytes, self.token_size = np.frombuffer(b"".join(self.token), np.uint8), lengths
+        self.token_at = np.cumsum(lengths) - lengths
         self.kinds = class_table()
         self.step, self.begins = automaton()
         self.forget()
@@ -208,11 +221,23 @@ class ByteBPE:
 
     # -- merging
 
+    def slot_of(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Priorities of merges of ids; NONE where there is none or an id is below zero."""
         key = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys.take(at) == key) & (left >= 0) & (right >= 0), self.priority.take(at), NONE)
+        slot = self.slot_of(key)
+        there = self.slot_key.take(slot)
+        out = np.where((there == key) & (right >= 0) & (left >= 0), self.slot_priority.take(slot), NONE)
+        on = np.flatnonzero((there != key) & (there >= 0) & (right >= 0) & (left >= 0))
+        while len(on):
+            slot[on] += 1
+            there = self.slot_key.take(slot[on])
+            hit = there == key[on]
+            out[on[hit]] = self.slot_priority.take(slot[on[hit]])
+            on = on[~hit & (there >= 0)]
+        return out
 
     def pair(self, left: int, right: int) -> tuple[int, int] | None:
         """Priority and id of one merge."""
@@ -248,15 +273,14 @@ class ByteBPE:
                 offer(before[i], i)
         return [t for t, x in zip(ids, alive, strict=True) if x]
 
-    def merge_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each piece has, and all ids, for pieces of similar length; each round merges the first best pair of every piece."""
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        width = int(size.max())
-        ids = np.full((len(pieces), width), -1, np.int32)
-        ids[np.arange(width) < size[:, None]] = self.of_byte.take(np.frombuffer(b"".join(pieces), np.uint8))
-        counts, ended = np.zeros(len(pieces), np.int64), []
-        who = np.arange(len(pieces))
-        pair = self.ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width - 1)
+    def merge_together(self, data: np.ndarray, begins: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all ids, for pieces (bytes of data) of similar length; each round merges the first best pair of every piece."""
+        width, pieces = int(size.max()), len(size)
+        column = np.arange(width)
+        ids = np.where(column < size[:, None], self.of_byte.take(data.take(begins[:, None] + column, mode="clip")), np.int32(-1))
+        counts, ended = np.zeros(pieces, np.int64), []
+        who = np.arange(pieces)
+        pair = self.ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(pieces, width - 1)
         while len(who):
             if width > 1:
                 best = pair.argmin(1)
@@ -290,58 +314,63 @@ class ByteBPE:
             out[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(len(flat))] = flat
         return counts, out
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each piece has, and all ids in a row."""
-        counts, parts, one, its = np.zeros(len(pieces), np.int64), [], [], []
-        groups: dict[int, tuple[list[int], list[bytes]]] = {}
-        get = self.vocab.get if self.whole_first else lambda b: self.vocab.get(b) if len(b) == 1 else None
-        for k, p in enumerate(pieces):
-            b = p.encode()
-            n = len(b)
-            if (i := get(b)) is not None:
-                one.append(k)
-                its.append(i)
-            elif n > 64:
-                ids = self.merge_long(b)
-                counts[k] = len(ids)
-                parts.append(([k], ids))
-            else:
-                own = groups.setdefault(4 if n < 5 else n & ~1 if n < 16 else n & ~7, ([], []))
-                own[0].append(k)
-                own[1].append(b)
+    def encode_pieces(self, data: bytes, begins: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece (a slice of data) has, and all ids in a row."""
+        raw, size = np.frombuffer(data, np.uint8), stops - begins
+        whole = np.full(len(size), -1, np.int64)
+        if self.whole_first:
+            whole[:] = [self.vocab.get(data[i:j], -1) for i, j in zip(begins.tolist(), stops.tolist(), strict=True)]
+        else:
+            single = np.flatnonzero(size == 1)
+            whole[single] = self.of_byte[raw[begins[single]]]
+        counts, parts = np.zeros(len(size), np.int64), []
+        one = np.flatnonzero(whole >= 0)
         counts[one] = 1
-        for which, group in groups.values():
-            for at in range(0, len(group), 20_000):
-                n, ids = self.merge_together(group[at : at + 20_000])
-                counts[which[at : at + 20_000]] = n
-                parts.append((which[at : at + 20_000], ids))
+        parts.append((one, whole[one]))
+        rest = np.flatnonzero(whole < 0)
+        n = size[rest]
+        group = np.where(n < 5, 4, np.where(n < 16, n & ~1, np.where(n <= 64, n & ~7, -1)))
+        for k in np.flatnonzero(group < 0).tolist():
+            own = rest[k : k + 1]
+            ids = self.merge_long(data[begins[own[0]] : stops[own[0]]])
+            counts[own] = len(ids)
+            parts.append((own, np.array(ids)))
+        order = np.argsort(group, kind="stable")
+        for g in np.unique(group[group > 0]).tolist():
+            which = rest[order[np.searchsorted(group[order], g) : np.searchsorted(group[order], g, "right")]]
+            for at in range(0, len(which), 20_000):
+                own = which[at : at + 20_000]
+                counts[own], ids = self.merge_together(raw, begins[own], size[own])
+                parts.append((own, ids))
         out, first = np.empty(counts.sum(), np.uint32), np.cumsum(counts) - counts
-        out[first[one]] = its
         for own, ids in parts:
-            if len(own) == 1:
-                out[first[own[0]] : first[own[0]] + len(ids)] = ids
-            else:
-                n = counts[own]
-                out[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+            out[spans(first[own], counts[own])] = ids
         return counts, out
 
-    # -- the cache: sorted hashes of pieces, and where the ids of each are
+    # -- the cache: sorted hashes of pieces, where the characters of each are, and where its ids are
 
     def forget(self) -> None:
-        self.known, self.known_at, self.known_n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.known_ends = np.empty(0, np.uint64)
+        self.known = np.empty(0, np.uint64)
+        self.known_at, self.known_n, self.known_text, self.known_size = (np.empty(0, np.int64) for _ in range(4))
         self.store, self.stored = np.empty(1 << 16, np.uint32), 0
+        self.text, self.texted = np.empty(1 << 16, np.uint32), 0
 
-    def add(self, hashes: np.ndarray, ends: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Puts pieces into the cache; hashes must be sorted and new."""
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, points: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Puts pieces with their characters and ids into the cache; hashes must be sorted and new."""
         while self.stored + len(ids) > len(self.store):
             self.store = np.append(self.store, np.empty_like(self.store))
+        while self.texted + len(points) > len(self.text):
+            self.text = np.append(self.text, np.empty_like(self.text))
         self.store[self.stored : self.stored + len(ids)] = ids
+        self.text[self.texted : self.texted + len(points)] = points
         where = np.searchsorted(self.known, hashes)
-        self.known, self.known_ends = np.insert(self.known, where, hashes), np.insert(self.known_ends, where, ends)
+        self.known = np.insert(self.known, where, hashes)
         self.known_at = np.insert(self.known_at, where, self.stored + np.cumsum(counts) - counts)
         self.known_n = np.insert(self.known_n, where, counts)
+        self.known_text = np.insert(self.known_text, where, self.texted + np.cumsum(sizes) - sizes)
+        self.known_size = np.insert(self.known_size, where, sizes)
         self.stored += len(ids)
+        self.texted += len(points)
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Powers of the hash's odd base modulo 2^64, and of its inverse."""
@@ -365,7 +394,7 @@ class ByteBPE:
         sums = (total[stops - 1] - total[begins] + mixed[begins]) * down[begins]
         sums ^= sums >> np.uint64(32)
         sums = sums * np.uint64(0xD6E8FEB86659FD93) + (stops - begins).astype(np.uint64)
-        ends = points[begins].astype(np.uint64) << np.uint64(32) | points[stops - 1] ^ (stops - begins).astype(np.uint64) << np.uint64(21)
+        sizes = stops - begins
         order = np.argsort(sums)
         sorted_ = sums[order]
         new = np.append(True, sorted_[1:] != sorted_[:-1])
@@ -373,23 +402,24 @@ class ByteBPE:
         unique = sorted_[new]
         number = np.empty(len(sums), np.int64)
         number[order] = np.cumsum(new) - 1
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES or self.texted > CACHE_POINTS:
             self.forget()
-        if (ends[at][number] == ends).all():
+        first_of = at[number]
+        if (sizes[first_of] == sizes).all() and (points[spans(begins[first_of], sizes)] == points[spans(begins, sizes)]).all():
             where = np.searchsorted(self.known, unique)
             where[where == len(self.known)] = 0
             missing = np.flatnonzero(self.known[where] != unique) if len(self.known) else np.arange(len(unique))
             if len(missing):
                 own = at[missing]
-                self.add(unique[missing], ends[own], *self.encode_pieces([joined[i:j] for i, j in zip(begins[own].tolist(), stops[own].tolist(), strict=True)]))
+                encoded = self.encode_pieces(*in_bytes(joined, points, begins[own], stops[own]))
+                self.add(unique[missing], sizes[own], points[spans(begins[own], sizes[own])], *encoded)
                 where = np.searchsorted(self.known, unique)
-            if (self.known_ends[where] == ends[at]).all():
+            if (self.known_size[where] == sizes[at]).all() and (self.text[spans(self.known_text[where], sizes[at])] == points[spans(begins[at], sizes[at])]).all():
                 which = where[number]
                 counts = self.known_n[which]
-                total = np.cumsum(counts)
-                return self.store[np.repeat(self.known_at[which] - total + counts, counts) + np.arange(total[-1])], counts, begins, first
+                return self.store[spans(self.known_at[which], counts)], counts, begins, first
         # two pieces with one hash: this batch goes without the cache
-        counts, ids = self.encode_pieces([joined[i:j] for i, j in zip(begins.tolist(), stops.tolist(), strict=True)])
+        counts, ids = self.encode_pieces(*in_bytes(joined, points, begins, stops))
         return ids, counts, begins, first
 
     def encode_some(self, texts: list[str]) -> list[bytes]:
@@ -404,8 +434,33 @@ class ByteBPE:
             out.append(b"".join(parts))
         return out
 
+    def encode_long(self, text: str) -> bytes:
+        """Ids of one text, window by window; memory grows with the longest piece and the ids.
+
+        A piece depends on no character before it and on at most two after the
+        one that follows it, so the pieces before the last but two characters of
+        a window are final, and the next window begins where the last of them does.
+        """
+        out, at, width = [], 0, BATCH_CHARS
+        while at < len(text):
+            window = text[at : at + width]
+            ids, counts, begins, _ = self.ids_of([window])
+            if at + width >= len(text):
+                out.append(ids.astype("<u4").tobytes())
+                break
+            final = int(np.searchsorted(begins, len(window) - 3, "right")) - 1
+            if final < 1:  # one piece
+                width *= 2
+                continue
+            out.append(ids[: int(counts[:final].sum())].astype("<u4").tobytes())
+            at, width = at + int(begins[final]), BATCH_CHARS
+        return b"".join(out)
+
     def encode_plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts in which added tokens don't count."""
+        if any(len(t) > BATCH_CHARS for t in texts):
+            short = iter(self.encode_plain([t for t in texts if len(t) <= BATCH_CHARS]))
+            return [self.encode_long(t) if len(t) > BATCH_CHARS else next(short) for t in texts]
         ids, counts, _, first = self.ids_of(texts)
         at = (4 * np.append(0, np.cumsum(counts))[first]).tolist()
         packed = ids.astype("<u4").tobytes()
@@ -415,6 +470,9 @@ class ByteBPE:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         held, chars = [], 0
         for t in texts:
+            if held and chars + len(t) > BATCH_CHARS:
+                yield from self.encode_some(held)
+                held, chars = [], 0
             held.append(t)
             chars += len(t) + 1
             if chars >= BATCH_CHARS:
@@ -423,22 +481,51 @@ class ByteBPE:
         if held:
             yield from self.encode_some(held)
 
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """The byte at which each id begins in the text it stands for."""
+        return np.cumsum(self.token_size[ids]) - self.token_size[ids]
+
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids, and for each the code point at which its piece begins."""
-        ids, where, at = [], [], 0
-        for m in (*(self.at_added.finditer(text) if self.at_added else ()), None):
-            own, counts, begins, _ = self.ids_of([text[at : m.start() if m else len(text)]])
-            ids += own.tolist()
-            where += (np.repeat(begins, counts) + at).tolist()
-            if m:
-                ids.append(self.added[m[0]])
-                where.append(m.start())
-                at = m.end()
-        return ids, where
-
-    def decode(self, ids: bytes) -> bytes:
-        token = self.token
-        return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        """Ids, and for each the byte at which it begins in the text as UTF-8."""
+        ids = np.frombuffer(self.encode_some([text])[0], "<u4")
+        return ids.tolist(), self.offsets(ids).tolist()
+
+    def decode(self, ids: bytes, offsets: np.ndarray | None = None, begin: int = 0, end: int | None = None, chunk: int = 1 << 20) -> bytes:
+        """The bytes of ids, or those from ``begin`` to ``end`` of the text.
+
+        With offsets (as retained by the encoder) only the ids of that span are
+        read, and offsets that don't fit the ids are an error.
+        """
+        ids = np.frombuffer(ids, "<u4")
+        if offsets is None:
+            offsets = self.offsets(ids)
+        first = max(0, int(np.searchsorted(offsets, begin, "right")) - 1)
+        last = len(ids) if end is None else int(np.searchsorted(offsets, end, "left"))
+        out = []
+        for at in range(first, last, chunk):
+            own = ids[at : min(last, at + chunk)]
+            size, where = self.token_size[own], offsets[at : at + len(own)]
+            if len(where) != len(own) or (np.cumsum(size) - size != where - where[0]).any():
+                raise ValueError("offsets don't belong to the ids")
+            out.append(self.token_bytes[spans(self.token_at[own], size)].tobytes())
+        skip = begin - int(offsets[first]) if first < len(ids) else 0
+        whole = b"".join(out)
+        return whole[skip : None if end is None else skip + max(0, end - begin)]
+
+
+def in_bytes(text: str, points: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text in UTF-8, and slices of it by their bytes."""
+    data = text.encode()
+    if len(data) == len(points):
+        return data, begins, stops
+    at = np.append(0, np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)))
+    return data, at[begins], at[stops]
+
+
+def spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of spans, one span after another."""
+    total = np.cumsum(sizes)
+    return np.repeat(begins - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)
 
 
 _LOADED: dict[tuple, ByteBPE] = {}
@@ -459,10 +546,11 @@ def file_bytes(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, ids (binary, little-endian unsigned 32-bit).
+    """One row per document: id, n_tokens, ids (little-endian unsigned 32-bit), offsets (little-endian unsigned 64-bit, compressed).
 
-    Null texts count as empty and give no ids.  Rows keep their order and
-    repeats; no shuffle takes place.
+    ``offsets`` has the byte of the text at which each id begins.  Null texts
+    count as empty and give no ids.  Rows keep their order and repeats, other
+    columns are not read; no shuffle takes place.
     """
     shared = docs.sparkSession.sparkContext.broadcast(file_bytes(vocabulary))
 
@@ -470,27 +558,46 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         bpe = load(vocabulary, shared.value)
         for b in batches:
             ids = list(bpe.encode(x if x is not None else "" for x in b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
-            del ids
+            where = [pack_offsets(bpe.offsets(np.frombuffer(x, "<u4"))) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(where, pa.binary())], ["id", "n_tokens", "ids", "offsets"])
+            del ids, where
         tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary, offsets binary")
     return out.withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary): the bytes that the ids stand for; null ids give no bytes."""
+def pack_offsets(offsets: np.ndarray) -> bytes:
+    """Offsets as their differences, a byte each; 255 stands for a longer token, whose 8 bytes follow at the end."""
+    step = np.diff(offsets, prepend=0)
+    return np.minimum(step, 255).astype(np.uint8).tobytes() + step[step >= 255].astype("<u8").tobytes()
+
+
+def unpack_offsets(data: bytes, n: int) -> np.ndarray:
+    step = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    step[step == 255] = np.frombuffer(data, "<u8", offset=n).astype(np.int64) if len(data) > n else 0
+    return np.cumsum(step)
+
+
+def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", offsets_col: str = "offsets", out_col: str = "decoded") -> DataFrame:
+    """Adds ``out_col`` (binary): the bytes that the ids stand for, placed by the offsets if there is such a column; null ids give no bytes.
+
+    A column of that name is replaced.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(file_bytes(vocabulary))
-    names = encoded.columns
+    names = [c for c in encoded.columns if c != out_col]
+    encoded = encoded.select(*(f"`{c}`" for c in names))
 
     def run(batches):
         bpe = load(vocabulary, shared.value)
         for b in batches:
-            out = [bpe.decode(x or b"") for x in b.column(names.index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, "decoded"])
-            del out
+            ids = b.column(names.index(ids_col)).to_pylist()
+            where = b.column(names.index(offsets_col)).to_pylist() if offsets_col in names else [None] * len(ids)
+            out = [bpe.decode(x or b"", None if w is None else unpack_offsets(w, len(x or b"") // 4)) for x, w in zip(ids, where, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, out_col])
+            del out, ids, where
         tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.mapInArrow(run, f"{fields}, `{out_col}` binary")
