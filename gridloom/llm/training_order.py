@@ -20,13 +20,14 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import byte_bpe
 from .common import release, remove, scratch, tidy
 
 MANIFEST = "shard long, file string, first_slot long, sequences long, bytes long, sha256 string"
 #: Least number of shards in a wave, so that each has work for several executors.
-WAVE_SHARDS = 8
+WAVE_SHARDS = 4
 
 
 class Feistel:
@@ -53,17 +54,20 @@ class Feistel:
         return out.astype(np.int64)
 
 
-def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, key: int = 1, end_id: int = 0, shard_bytes: int = 64 << 20, waves: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, key: int = 1, end_id: int = 0, shard_bytes: int = 64 << 20, waves: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards and their index into ``folder``; returns the manifest.
 
     A document is its ids and then ``end_id``; null and empty texts are that id
-    alone.  The last sequence of a task's stream is filled with ``end_id``.  Ids
-    are little-endian, 16 bits wide if the vocabulary allows it.  An empty table
+    alone.  The last sequence of a task's stream is filled with ``end_id``.  Rows
+    that repeat an id are separate documents; ids of any type, null included, and
+    no other column are kept in the index.  Token ids are little-endian, 16 bits wide if the vocabulary allows it.  An empty table
     has no shard.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(byte_bpe.file_bytes(vocabulary))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = docs.schema[id_col].dataType
+    id_lists = pa.list_(to_arrow_type(id_type))
 
     def cut(batches):
         bpe = byte_bpe.load(vocabulary, shared.value)
@@ -84,7 +88,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
             columns = list(zip(*rows, strict=True))
             rows.clear()
             tasks = pa.array([task] * len(columns[0]), pa.int64())
-            return pa.RecordBatch.from_arrays([tasks, *(pa.array(c, pa.int64()) for c in columns[:2]), pa.array(columns[2], pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in columns[3:])], ["task", "number", "n_tokens", "ids", "doc_ids", "offsets", "starts"])
+            return pa.RecordBatch.from_arrays([tasks, *(pa.array(c, pa.int64()) for c in columns[:2]), pa.array(columns[2], pa.binary()), pa.array(columns[3], id_lists), *(pa.array(c, pa.list_(pa.int64())) for c in columns[4:])], ["task", "number", "n_tokens", "ids", "doc_ids", "offsets", "starts"])
 
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), bpe.encode(t or "" for t in b.column(1).to_pylist()), strict=True):
@@ -106,7 +110,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
 
     # Encoded once: the numbers of sequences are known only when all tasks are done, and their slots depend on them.
     kept = f"{folder}/_sequences"
-    sequences = rows.mapInArrow(cut, "task long, number long, n_tokens long, ids binary, doc_ids array<long>, offsets array<long>, starts array<long>")
+    sequences = rows.mapInArrow(cut, f"task long, number long, n_tokens long, ids binary, doc_ids array<{id_type.simpleString()}>, offsets array<long>, starts array<long>")
     sequences.write.mode("overwrite").option("compression", "zstd").parquet(kept)
     sequences = spark.read.schema(sequences.schema).parquet(kept)
     sizes = sequences.groupBy("task").agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()  # a number for each task
@@ -122,8 +126,15 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
         known, first = plan.value
         return pd.Series(order.slots(first[np.searchsorted(known, task.to_numpy())] + number.to_numpy()))
 
+    # Shards are written in waves of ranges, so only one wave's shuffle files take up disk; a wave's sequences go when its shards are there.
+    waves = max(1, min(waves, shards // WAVE_SHARDS))
+    bounds = [shards * k // waves for k in range(waves + 1)]
     placed = sequences.withColumn("slot", slot("task", "number")).drop("task", "number")
     placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
+    placed = placed.withColumn("wave", sum((F.col("shard") >= b).cast("int") for b in bounds[1:-1]) if waves > 1 else F.lit(0))
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("wave").parquet(f"{folder}/_placed")
+    remove(spark, kept)
+    columns = placed.drop("wave").schema
 
     def save(batches):
         attempt = TaskContext.get().taskAttemptId()
@@ -161,20 +172,21 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
-    # Shards are written in waves of ranges, so only one wave's shuffle files take up disk beside the sequences.
-    waves = max(1, min(waves, shards // WAVE_SHARDS))
-    for k in range(waves):
-        lo, hi = shards * k // waves, shards * (k + 1) // waves
-        wave = placed.where((F.col("shard") >= lo) & (F.col("shard") < hi)).repartitionById(hi - lo, (F.col("shard") - lo).cast("int")).sortWithinPartitions("shard", "slot")
+    for k in range(waves if total else 0):
+        lo, hi = bounds[k], bounds[k + 1]
+        wave = spark.read.schema(columns).parquet(f"{folder}/_placed/wave={k}")
+        wave = wave.repartitionById(hi - lo, (F.col("shard") - lo).cast("int")).sortWithinPartitions("shard", "slot")
         wave.mapInArrow(save, MANIFEST).write.mode("append" if k else "overwrite").parquet(f"{folder}/_manifest")
         del wave
+        remove(spark, f"{folder}/_placed/wave={k}")
         release(spark)
-    remove(spark, kept)
+    if not total:
+        spark.createDataFrame([], MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
-def read(folder: str, manifest: DataFrame, sequence: int = 1024, first_slot: int = 0, end_slot: int | None = None) -> DataFrame:
-    """Sequences of a range of slots: slot, shard, n_tokens, ids (with padding), doc_ids, offsets, starts.
+def read(folder: str, manifest: DataFrame, sequence: int = 1024, first_slot: int = 0, end_slot: int | None = None, id_type: str = "long") -> DataFrame:
+    """Sequences of a range of slots: slot, shard, n_tokens, ids (with padding), doc_ids (of ``id_type``), offsets, starts.
 
     A shard is entered at the stride of the first slot that is wanted.  A shard
     whose size isn't that of its records is an error.
@@ -199,8 +211,8 @@ def read(folder: str, manifest: DataFrame, sequence: int = 1024, first_slot: int
                         ids = [data[k * stride : (k + 1) * stride] for k in range(len(part))]
                         yield pa.RecordBatch.from_arrays([part.column("slot").combine_chunks(), pa.array([shard] * len(part), pa.int64()), part.column("n_tokens").combine_chunks(), pa.array(ids, pa.binary()), *(part.column(c).combine_chunks() for c in ("doc_ids", "offsets", "starts"))], ["slot", "shard", "n_tokens", "ids", "doc_ids", "offsets", "starts"])
 
-    tasks = max(1, min(manifest.count(), 10_000))
-    return wanted.repartition(tasks).mapInArrow(run, "slot long, shard long, n_tokens long, ids binary, doc_ids array<long>, offsets array<long>, starts array<long>")
+    tasks = max(1, manifest.count())  # a shard each
+    return wanted.repartition(tasks).mapInArrow(run, f"slot long, shard long, n_tokens long, ids binary, doc_ids array<{id_type}>, offsets array<long>, starts array<long>")
 
 
 def digest(sequences: DataFrame, sequence: int = 1024) -> DataFrame:
@@ -212,10 +224,12 @@ def digest(sequences: DataFrame, sequence: int = 1024) -> DataFrame:
             keep = ["slot", "shard", "n_tokens", "doc_ids", "offsets", "starts"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(crc, pa.int64())], [*keep, "ids_crc32"])
 
-    return sequences.mapInArrow(run, "slot long, shard long, n_tokens long, doc_ids array<long>, offsets array<long>, starts array<long>, ids_crc32 long")
+    kind = sequences.schema["doc_ids"].dataType.simpleString()
+    return sequences.mapInArrow(run, f"slot long, shard long, n_tokens long, doc_ids {kind}, offsets array<long>, starts array<long>, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, sequence: int = 1024, key: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, sequence: int = 1024, key: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """Writes shards into the shared folder and reads them all back as ``digest`` gives them."""
     folder = scratch(docs.sparkSession, "training-order")
-    manifest = write(docs, vocabulary, folder, sequence, key)
-    return digest(read(folder, manifest, sequence), sequence)
+    manifest = write(docs, vocabulary, folder, sequence, key, id_col=id_col)
+    return digest(read(folder, manifest, sequence, id_type=docs.schema[id_col].dataType.simpleString()), sequence)
