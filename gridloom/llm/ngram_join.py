@@ -148,7 +148,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5, recall
     classes = stored(signed.groupBy("digest").agg(best, F.count(F.lit(1)).alias("copies")).select("digest", "best.id", "best.rid", "copies"), f"{folder}/classes")
     banded = signed.join(classes.select("rid"), "rid", "left_semi").select("rid", F.posexplode("bands").alias("band", "hash"))
     buckets = banded.groupBy("band", "hash").agg(F.min("rid").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hash", "root")
-    candidates = banded.join(buckets, ["band", "hash"]).where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct()
+    # an edge from each class to the least of the first classes of its buckets, and from the other first ones to that
+    met = banded.join(buckets, ["band", "hash"]).groupBy(F.col("rid").alias("a")).agg(F.min("root").alias("b"), F.collect_set("root").alias("roots"))
+    candidates = met.select("b", F.explode(F.array_union(F.array("a"), "roots")).alias("a")).where("a <> b")
     clusters = components(candidates, f"{folder}/candidates").withColumnsRenamed({"node": "rid", "root": "cluster"})
     members = stored(clusters.join(classes, "rid"), f"{folder}/members")
 
