@@ -20,10 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the one named in ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a temporary folder is made and recorded there.
+    and driver and executors are one process (``local`` master, as in tests) a
+    temporary folder is made and recorded there.  Elsewhere it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -95,3 +99,14 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") ->
         repeated = docs.join(maybe_broadcast(per_id.where("kept").select("wanted"), n[True], 48), same, "left_semi")
         out = out.unionByName(repeated.dropDuplicates([id_col, "text"]))
     return out
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``docs`` has already."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

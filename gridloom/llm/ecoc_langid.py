@@ -80,17 +80,18 @@ class Model:
         return order[:, 0], 1 / share.sum(1), second - loss[rows, order[:, 0]]
 
 
-def fit(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 500, ridge: float = 1.0) -> Model | None:
+def fit(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = 500, rows_in_all: int = 6000, ridge: float = 1.0) -> Model | None:
     """Fits on rows where ``train`` holds, language and text are not null and the text has a letter.
 
-    About ``per_language`` rows of each language are used, chosen by a hash of
-    the id; this bounds what comes to the driver.  None without any such row.
+    About ``per_language`` rows of each language are used, fewer where all
+    languages together would pass ``rows_in_all``, chosen by a hash of the id;
+    this bounds what comes to the driver.  None without any such row.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
-    names = sorted(sizes)
+    per_language = min(per_language, max(2, rows_in_all // len(sizes)))
     chance = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     chosen = reduce(lambda a, b: a | b, [(F.col("lang") == x) & (chance <= per_language / n) for x, n in sizes.items()])
 
@@ -114,14 +115,16 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "d
     return Model(names, code, (x.T @ dual).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least_gap: float = 0.02) -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and ambiguous to ``docs``, from the text alone.
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least_gap: float = 0.02, out_cols: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Adds the predicted language, its score (0 to 1) and whether it is ambiguous to ``docs``, from the text alone.
 
     A null text, one without a letter, and any text without a model is ``und``
-    with score 0 and not ambiguous.  Whole texts are read.
+    with score 0 and not ambiguous.  Whole texts are read; rows keep their order
+    and repeats, and columns named like the three are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names = [c for c in docs.columns if c not in out_cols]
+    docs = docs.select(*(f"`{c}`" for c in names))
     where = names.index(text_col)
 
     def run(batches):
@@ -135,8 +138,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 best, sure, gap = m.decode(np.stack([vector(texts[k].encode()) for k in own]))
                 for k, l, s, g in zip(own, best.tolist(), sure.tolist(), gap.tolist(), strict=True):
                     lang[k], score[k], unsure[k] = m.languages[l], s, g < least_gap
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*names, *out_cols])
         tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(run, f"{fields}, `{out_cols[0]}` string, `{out_cols[1]}` double, `{out_cols[2]}` boolean")

@@ -507,7 +507,6 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
     if not size[1]:
         return docs.select(F.col(id_col), *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")), *(F.lit(0.0).alias(c) for c in ("base_score", "score")))
     buckets = homes = int(max(8, (size[0] or 0) // BUCKET_BYTES + 1))
-    chunk_parts = int(max(8, (size[0] or 0) // (12 << 20) + 1))
 
     def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/{name}")
@@ -518,7 +517,7 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
         return df.select(NAMES).repartitionById(n, F.col("dst").cast("int")).sortWithinPartitions("dst", "kind", "src")
 
     def by_chunk(df: DataFrame) -> DataFrame:
-        return df.repartition(chunk_parts, "dst").sortWithinPartitions("dst", "kind", "src")
+        return df.repartitionById(chunk_parts, F.shiftright("dst", 32).cast("int")).sortWithinPartitions("dst", "kind", "src")
 
     # 1. words
     def tokenise(batches):
@@ -565,6 +564,7 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
     totals = numbered.where("kind = 0").agg(F.sum("x"), F.sum("y")).first()
     n_train, vocabulary = int(totals[0] or 0), int(totals[1] or 0)
     tokens = chunks.where("kind = 0")
+    chunk_parts = tokens.agg(F.max(F.shiftright("dst", 32))).first()[0] + 1  # the chunks of a task stay together
     remove(spark, f"{folder}/chunks/kind=1")
 
     # 2. pairs
@@ -670,24 +670,23 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
 
     # 4. answers
     def answer(batches):
-        """To chunks, kind 2: what seen pairs have of their own; tables of contexts in the sweeps that count, one after another; customers of contexts."""
+        """To chunks, kind 2: customers of pairs and the sum of their tables over the sweeps that count; tables of contexts in those sweeps, one after another; customers of contexts."""
         for number, own in grouped(batches):
             bucket, heard = Bucket.read(next(own)), []
-            mean = None
+            past = None
             for r in own:
                 if r[1] == 1:
                     heard.append(r)
                     continue
-                if mean is None:
+                if past is None:
                     bucket.hear(heard, homes)
                     bucket.keep()
-                    mean = (bucket.counts - fixed["d1"] * bucket.summed / len(counted)) / (THETA + bucket.visits[bucket.context])
                     past = np.array([*bucket.past, bucket.visits]).reshape(len(counted) + 1, -1)
                 contexts, runs, words, _, _ = request(r)
                 at, pair = bucket.find(contexts, runs, words)
-                a = np.where(pair >= 0, mean[pair], 0).astype(np.float32) if len(mean) else np.zeros(len(words), np.float32)
+                found = [np.where(pair >= 0, x[pair], 0) if len(x) else np.zeros(len(words), np.int64) for x in (bucket.counts, bucket.summed)]
                 of_contexts = np.where(at >= 0, past[:, at], 0) if past.shape[1] else np.zeros((len(past), len(at)), np.int64)
-                yield batch([row(r[2], 2, number, squeeze(a), *(squeeze(x) for x in (of_contexts[:-1].ravel(), of_contexts[-1])))])
+                yield batch([row(r[2], 2, number, *map(squeeze, (*found, of_contexts[:-1].ravel(), of_contexts[-1])))])
             del bucket
         tidy()
 
@@ -736,9 +735,9 @@ def score(docs: DataFrame, train: Column, sweeps: int = 5, burn_in: int = 2, see
                 if r[1] != 2:
                     continue
                 which, _, runs = pairs.runs(r[2])
-                past = loose(r[4], "<f8").reshape(len(counted), -1)
-                below = (THETA + fixed["d1"] * past) / (THETA + loose(r[5], "<f8"))
-                probability[which] = loose(r[3], "<f8") + (np.repeat(below, runs, axis=1) * p[:, pairs.local_word[which]]).mean(0)
+                past, visits = loose(r[5], "<f8").reshape(len(counted), -1), THETA + loose(r[6], "<f8")
+                below = np.repeat((THETA + fixed["d1"] * past) / visits, runs, axis=1) * p[:, pairs.local_word[which]]
+                probability[which] = (loose(r[3], "<f8") - fixed["d1"] * loose(r[4], "<f8") / len(counted)) / np.repeat(visits, runs) + below.mean(0)
             first_of = np.cumsum(sizes) - sizes
             counts = learnt.astype(float)[stream]
             score_ = np.add.reduceat(np.log10(probability)[pairs.where], first_of)

@@ -23,8 +23,12 @@ al como con de del el ella las lo los no o para pero por se su y
 """.split()
 START = "^"
 CHAIN = 2
-#: Rows of a bucket in which neighbours are found, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 4096
+#: Rows of a bucket in which neighbours are found.
+BUCKET_ROWS = 2000
+#: Below that Jaccard a likeness may be 0: sets two partitions by length apart are not compared.
+LEAST = 0.1
+#: Documents of a signature that meet in one task; more are dealt in blocks.
+BLOCK_SETS = 256
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -59,52 +63,67 @@ def as_string(signatures_: Column) -> Column:
     return F.array_join(F.transform(signatures_, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard of two sets of signatures; 0 without a comparison where their sizes rule ``least`` out.  Two empty sets are alike."""
+def length_partition(size: Column, least: float) -> Column:
+    """Partition of a set; sets with a Jaccard of ``least`` are in one or in neighbouring partitions."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(1 / least) + 1e-9).cast("int")
+
+
+def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
+    """Jaccard of two sets of signatures; two empty sets are alike.
+
+    It is 0 without a comparison where the sets' lengths rule ``least`` out:
+    they are not in neighbouring partitions, or the smaller has less than that
+    share of the larger.  A common part too small for ``least`` gives 0, too.
+    """
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     common = F.size(F.array_intersect(a, b))
     exact = common / (F.size(a) + F.size(b) - common)
-    return F.when(large == 0, 1.0).when((small == 0) | (small < least * large), 0.0).otherwise(exact)
-
-
-def length_partition(size: Column, least: float) -> Column:
-    """Partition of a set; sets with a Jaccard of ``least`` are in one or in neighbouring partitions."""
-    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(1 / least)).cast("int")
+    apart = length_partition(large, least) - length_partition(small, least) > 1
+    return F.when(large == 0, 1.0).when((small == 0) | apart | (small < least * large), 0.0).otherwise(F.when(exact >= least, exact).otherwise(0.0))
 
 
 def similar_pairs(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, likeness) between documents with different fingerprints, each the least id of its fingerprint.
 
-    Two sets that are alike share one of their first signatures in any common
-    order, so only those meet, within neighbouring partitions by length.
-    Documents without signatures have no pair; null ids are left out.
+    Two sets that are alike share one of their rarest signatures, so only those
+    meet, within neighbouring partitions by length.  Sets that meet in a
+    signature of many sets are dealt in blocks, block against block, so no task
+    holds all of them.  Documents without signatures have no pair; null ids are
+    left out; rows that repeat count once.
     """
     sets = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), signatures(F.col(text_col)).alias("s")).groupBy("s").agg(F.min("id").alias("id")).where(F.size("s") > 0)
+    each = sets.select("id", F.explode("s").alias("sig"))
+    often = each.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(often, "sig").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("s"))
     size = F.size("s")
-    sets = sets.withColumn("part", length_partition(size, least))
-    first = F.slice("s", 1, (size - F.ceil(size * least) + 1).cast("int"))
-    left = sets.select("id", "s", "part", F.explode(first).alias("sig"))
-    right = left.select(F.col("id").alias("b"), F.col("s").alias("t"), F.col("part").alias("part_b"), "sig", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
-    met = left.withColumnRenamed("id", "a").join(right, ["sig", "part"]).where((F.col("part_b") > F.col("part")) | (F.col("a") < F.col("b")))
+    sets = ordered.withColumn("part", length_partition(size, least)).withColumn("first", F.slice("s", 1, (size - F.ceil(size * least) + 1).cast("int")))
+    sets = sets.withColumn("s", F.transform("s", lambda x: x["sig"]))
+    met_in = sets.select("id", "s", "part", F.explode("first").alias("x")).select("id", "s", "part", F.col("x.sig").alias("sig"), F.ceil(F.col("x.n") / BLOCK_SETS).cast("int").alias("blocks"))
+    met_in = met_in.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = met_in.select(F.col("id").alias("a"), "s", "part", "sig", F.col("block").alias("i"), F.col("other").alias("j"))
+    right = met_in.select(F.col("id").alias("b"), F.col("s").alias("t"), F.col("part").alias("part_b"), "sig", F.col("other").alias("i"), F.col("block").alias("j"), F.explode(F.array("part", F.col("part") - 1)).alias("part"))
+    met = left.join(right, ["sig", "part", "i", "j"]).where((F.col("part_b") > F.col("part")) | (F.col("a") < F.col("b")))
     met = met.where(F.least(F.size("s"), F.size("t")) >= least * F.greatest(F.size("s"), F.size("t")))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "t").dropDuplicates(["a", "b"])
-    return met.select("a", "b", likeness(F.col("s"), F.col("t"), least).alias("likeness")).where(F.col("likeness") >= least)
+    found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("s"), F.col("t"), least).alias("likeness")).where(F.col("likeness") >= least)
+    return found.distinct()
 
 
-def with_next(rows: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], id_col: str = "id", bucket_rows: int | None = None) -> DataFrame:
     """Adds next_<column>: the value in the row with the next smaller id, of the largest id after the smallest.
 
     Rows go to buckets by ranges of the id, the largest row of each bucket also
     to the bucket above as the one that follows its smallest.  Null ids come
     after all others, rows of one id follow each other in the order of a hash.
+    ``bucket_rows`` (BUCKET_ROWS unless given) is to be chosen such that a
+    bucket suits a task; the driver holds one id for each bucket.
     """
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.max(id_col).alias("last")).first()
-    buckets = max(1, min(MOST_BUCKETS, stats.n // BUCKET_ROWS))
+    buckets = max(1, stats.n // (bucket_rows or BUCKET_ROWS))
     bounds = []
     if stats.last is not None:
         if buckets > 1:
             shares = F.array(*(F.lit(k / buckets) for k in range(1, buckets)))
-            bounds = rows.agg(F.percentile_approx(id_col, shares, 20_000)).first()[0] or []
+            bounds = rows.agg(F.percentile_approx(id_col, shares, max(10_000, 5 * buckets))).first()[0] or []
         bounds = sorted({*bounds, stats.last})
     key = F.col(id_col)
     if bounds:
@@ -133,7 +152,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last third replaced by the beginning of the next
     document's text, by descending id.  Null texts count as empty; an only row is
-    its own next.  Equal texts have equal fingerprints.
+    its own next.  Equal texts have equal fingerprints; rows that repeat an id
+    are rows of their own.  Likenesses below LEAST are 0 (see ``likeness``).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"), signatures(F.col(text_col)).alias("sigs"))

@@ -1,23 +1,28 @@
 """Deterministic sharded WARC files.
 
-Records are sorted by id over ranges, one range per task.  A task compresses
-each record as a gzip member of its own, rolls to the next file when the
-compressed size passes the limit, writes under a temporary name and renames at
-the end; names and contents depend on the data alone, so a repeated task writes
-the same files.  Only files named in the manifest belong to the archive.
+Records are sorted by (id, digest, url) over ranges of equal payload bytes; where a
+range ends follows from running sums over all records, not from a sample.  A task
+writes ranges, compresses each record as a gzip member of its own, rolls to the
+next file when the compressed size passes the limit, writes under a temporary name
+and renames at the end; names and contents depend on the records and parameters
+alone, whatever the partitions, so a repeated task or run writes the same files.
+Only files named in the manifest belong to the archive.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,14 +73,38 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisit_of: tup
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = 256 << 20, task_bytes: int = 128 << 20, min_payload: int = 100, level: int = 6) -> DataFrame:
+def range_starts(keyed: DataFrame, range_bytes: int, folder: str, part_rows: int = 500_000) -> list[tuple]:
+    """The least (has id, id, digest, url) of each range of about ``range_bytes`` of payload, one tuple for each range.
+
+    Distinct keys are sorted, and bytes are summed up along the order: within
+    the sorted partitions, and over the partitions by their sums.  Only sums, one
+    a partition, and the starts reach the driver.
+    """
+    key = [F.col("page_id").isNotNull().alias("has"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "digest", F.coalesce("url", F.lit("")).alias("url")]
+    keys = stored(keyed.select(*key, "size").groupBy("has", "page_id", "digest", "url").agg(F.sum(F.col("size") + 1).alias("size")), f"{folder}/_keys")
+    n, total = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
+    if not n or total <= range_bytes:
+        return []
+    order = ["has", "page_id", "digest", "url"]
+    placed = keys.repartitionByRange(-(-n // part_rows), *order).withColumn("part", F.spark_partition_id())
+    placed = stored(placed, f"{folder}/_sorted")
+    sums = sorted((r.part, r.size) for r in placed.groupBy("part").agg(F.sum("size").alias("size")).collect())
+    before = dict(zip((p for p, _ in sums), np.cumsum([0, *(s for _, s in sums)]).tolist(), strict=False))
+    offset = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("part")]
+    along = F.sum("size").over(Window.partitionBy("part").orderBy(*order)) - F.col("size") + offset
+    starts = placed.withColumn("range", F.floor(along / range_bytes)).groupBy("range").agg(F.min(F.struct(*order)).alias("start")).collect()
+    return sorted(tuple(r.start) for r in starts)
+
+
+def write(pages: DataFrame, folder: str, roll_bytes: int = 256 << 20, range_bytes: int = 64 << 20, min_payload: int = 100, level: int = 6) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as WARC files into ``folder``; returns the manifest.
 
     Of rows with equal payloads of ``min_payload`` bytes or more the one with the
     smallest page_id is a response, the others are revisits of it; all smaller
     ones are responses.  A null html is an empty payload, a null url is
     about:blank, a null page_id sorts first and counts as the largest when a
-    response is chosen.  Rows that repeat a page_id are all written.
+    response is chosen.  Rows that repeat a page_id are all written; rows that
+    are equal throughout are in one range.  Other columns are not read.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -83,32 +112,54 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 256 << 20, task_bytes
     keyed = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size"))
     groups = keyed.where(F.col("size") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     groups = stored(groups, f"{folder}/_groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
     shared = groups.where("n > 1").select("digest", "first")
     shared = maybe_broadcast(shared, shared.count(), 160)
     keyed = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), "payload").join(shared, "digest", "left")
     own = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("payload") < min_payload)
     # copies of a repeated page_id that holds the first payload: all are written as responses
     records = keyed.select("page_id", "url", "payload", "digest", F.when(~own, F.col("first")).alias("refers_to"))
-    ranges = max(1, -(-total // task_bytes), spark.sparkContext.defaultParallelism)
-    records = records.repartitionByRange(int(ranges), "page_id").sortWithinPartitions("page_id", "digest", "url")
+    url = F.coalesce("url", F.lit(""))
+    starts = range_starts(rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size")), range_bytes, folder)
+    sent = spark.sparkContext.broadcast(starts)  # a short tuple for each range
+
+    @F.pandas_udf("int")
+    def range_of(page: pd.Series, has: pd.Series, digest: pd.Series, url: pd.Series) -> pd.Series:
+        starts = sent.value
+        ids = np.array([x[1] if x[0] else np.iinfo(np.int64).min for x in starts], np.int64)
+        own = np.where(has.to_numpy(bool), page.to_numpy(np.int64), np.iinfo(np.int64).min)
+        first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        out = first - 1
+        for k in np.flatnonzero(first < last).tolist():  # a range begins within this id
+            out[k] = bisect.bisect_right(starts, (bool(has[k]), int(page[k]), digest[k], url[k])) - 1
+        return pd.Series(np.maximum(out, 0).astype(np.int32))
+
+    if starts:
+        place = range_of(F.coalesce("page_id", F.lit(0)), F.col("page_id").isNotNull(), "digest", url)
+        records = records.withColumn("range", place).repartitionById(len(starts), F.col("range"))
+    else:
+        records = records.withColumn("range", F.lit(0)).coalesce(1)
+    records = records.sortWithinPartitions("range", F.col("page_id").isNotNull(), "page_id", "digest", url)
 
     def run(batches):
-        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        attempt = TaskContext.get().taskAttemptId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(f"{root}/_temporary/{attempt}", recursive=True)
-        out, sink, number = [], None, 0
+        out, sink, number, now = [], None, 0, None
 
         def close():
             nonlocal sink, number
             sink.close()
-            name = f"part-{part:06d}-{number:04d}.warc.gz"
+            name = f"part-{now:06d}-{number:04d}.warc.gz"
             fs.move(temp, f"{root}/{name}")
             out.append((name, size, count, sha.hexdigest()))
             sink, number = None, number + 1
 
         for b in batches:
-            for page, url, payload, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, payload, digest, first, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != now:
+                    if sink is not None:
+                        close()
+                    now, number = part, 0
                 if sink is None:
                     temp, size, count, sha = f"{root}/_temporary/{attempt}/{number:04d}", 0, 0, hashlib.sha256()
                     sink = fs.open_output_stream(temp)
@@ -185,7 +236,7 @@ def read(folder: str, manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         raise OSError(f"{name} has {count} records, its manifest {expected}")
 
     files = manifest.select("file", "records")
-    tasks = max(1, min(files.count(), 10_000))
+    tasks = max(1, files.count())  # a file each
     return files.repartition(tasks).mapInArrow(run, ", ".join(READ.split(", ")[: len(names)]))
 
 

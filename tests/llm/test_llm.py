@@ -151,7 +151,7 @@ def test_pitman_yor_keeps_contexts_apart(spark, docs, monkeypatch):
     assert got[200] == got[201]
     held = F.col("doc_id") % 5 == 1
     whole = {r.doc_id: r for r in pitman_yor.score(docs, ~held).collect()}
-    monkeypatch.setattr(pitman_yor, "HOT_PAIRS", 100)  # many words are spread over buckets
+    monkeypatch.setattr(pitman_yor, "HOT_TOKENS", 40)  # many contexts are spread over buckets
     for r in pitman_yor.score(docs, ~held).collect():
         own = whole[r.doc_id]
         assert r[:4] == own[:4] and r.base_score == pytest.approx(own.base_score) and r.score == pytest.approx(own.score, rel=0.05, abs=0.3)
@@ -162,7 +162,8 @@ def test_spotsigs(spark, docs, rows, none):
     order = sorted((r[0] for r in rows), reverse=True)
     texts = {d: t or "" for d, t, _ in rows}
     cut = lambda f: {f[i : i + 8] for i in range(0, len(f), 8)}
-    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    alike = lambda a, b: j if (j := jaccard(a, b)) >= spotsigs.LEAST else 0.0
     for k, d in enumerate(order):
         nxt, t = order[(k + 1) % len(order)], texts[d]
         third = len(t) // 3
