@@ -13,20 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import ecoc_langid, exact_dedup, ngram_join, packing, toxicity_kn
-from gridloom.llm.common import fold_of, keep_rows, scratch, stored, table
+from gridloom.llm.common import fold_of, free_names, keep_rows, remove, scratch, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language and those between two languages."""
     model = ecoc_langid.fit(docs, fold_of(F.col("doc_id")) != 0)
-    out = ecoc_langid.predict(docs, model, least_gap=0.01)
-    return out.where((F.col("lang_pred") != ecoc_langid.UNDETERMINED) & ~F.col("ambiguous")).select(docs.columns)
+    names = free_names(docs, "lang_pred", "score", "ambiguous")
+    out = ecoc_langid.predict(docs, model, least_gap=0.01, out_cols=tuple(names))
+    return out.where((F.col(names[0]) != ecoc_langid.UNDETERMINED) & ~F.col(names[2])).select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are more likely toxic than not."""
     model = toxicity_kn.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id")) != 0)
-    return toxicity_kn.score(docs, model).where("toxicity < 0.5").select(docs.columns)
+    name = free_names(docs, "toxicity")[0]
+    return toxicity_kn.score(docs, model, out_col=name).where(F.col(name) < 0.5).select(docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,4 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
