@@ -5,6 +5,8 @@ The numeric tests differ on purpose; merging them changes results.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,3 +131,119 @@ def json_object(text: Column, schema: str) -> Column:
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     parse = lambda c: F.when(F.try_parse_json(c).isNotNull() if hasattr(F, "try_parse_json") else F.lit(True), F.from_json(c, schema))
     return F.coalesce(parse(text), parse(F.nullif(fenced, F.lit(""))), parse(F.nullif(braces, F.lit(""))))
+
+
+# Words that mark headers, changes, entities, summaries and units.
+HEADER_WORDS = [
+    "项目", "指标", "科目", "资产", "负债", "收入", "支出", "金额", "余额", "占比", "比重", "数量", "比例", "利率", "年利率", "利息",
+    "集团", "本行", "本公司", "母公司", "子公司", "合并", "手续费", "佣金", "净值", "市值", "利润", "总额", "阶段", "风险",
+    "净收入", "损失", "期末", "期初", "年末", "年初",
+]
+CHANGE_WORDS = ["变化", "增减", "变动", "增幅", "±", "增速"]
+ENTITY_WORDS = ["本集团", "本行", "本公司", "母公司", "子公司"]
+SUMMARY_WORDS = ["合计", "总计", "总额", "小计", "累计", "平均"]
+SHARED_VALUE_WORDS = ["总额", "总计", "合计", "净额", "净收入", "净利息", "净利", "净收益", "净值", "小计", "余额"]
+UNIT_WORDS = ["万元", "千元", "百万元", "亿元", "元", "美元", "港币", "人民币"]
+UNIT_NOTES = ["除外", "列示", "注明", "披露"]
+YEAR = r"(19|20)[0-9]{2}"
+DATE = r"[0-9]{1,2}[/-][0-9]{1,2}[/-](19|20)[0-9]{2}|[0-9]{1,2}月[0-9]{1,2}日|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}"
+DASHES = r"^[\s\-–—]+$"
+YEAR_ALONE = r"^[\s　]*(19|20)[0-9]{2}年[\s　]*$"
+MARKERS = [
+    r"[0-9]{1,2}[.、．)）]\s*", r"\([0-9]{1,2}\)\s*", r"[（(][0-9]{1,2}[）)]\s*", r"[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]\s*",
+    r"[（(][一二三四五六七八九十]+[）)]\s*", r"[*†‡]{1,3}[\s　]*", r"\[[0-9]{1,2}\]\s*",
+]
+MARKER = "^(?:" + "|".join(MARKERS) + ")"
+
+
+def words_pattern(words: list[str]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+def has_word(text: Column, words: list[str]) -> Column:
+    """Whether a text contains one of the words."""
+    return text.rlike(words_pattern(words))
+
+
+def without(text: Column, characters: str) -> Column:
+    return F.regexp_replace(text, f"[{characters}]", "")
+
+
+def is_plain_number(text: Column) -> Column:
+    """The filter's test of a column: a number once commas, % and spaces are gone; brackets are not a sign."""
+    return without(stripped(text), ",% ").rlike(NUMBER)
+
+
+def is_signed_number(text: Column) -> Column:
+    """The filter's test of a whole table: as ``is_plain_number``, with (x) as -x."""
+    return _signed(without(stripped(text), ",% ")).rlike(NUMBER)
+
+
+def is_axis_number(text: Column) -> Column:
+    """The axis test: a number once commas, spaces and brackets are gone."""
+    return without(stripped(text), ", ()").rlike(NUMBER)
+
+
+def axis_value(text: Column) -> Column:
+    return F.when(is_axis_number(text), without(stripped(text), ", ()").try_cast("double"))
+
+
+def is_typed_number(text: Column) -> Column:
+    """The column typing's test: every bracket counts as a sign, per cent and per mille signs are dropped."""
+    return F.replace(without(F.replace(stripped(text), F.lit("("), F.lit("-")), ",)%‰"), F.lit(" "), F.lit(" ")).rlike(NUMBER)
+
+
+def is_split_number(text: Column) -> Column:
+    """The mixed-table test: ``is_plain_number`` but for plain years from 1900 to 2099."""
+    return is_plain_number(text) & ~without(stripped(text), ",% ").rlike(r"^(19|20)[0-9]{2}$")
+
+
+def is_single_number(text: Column) -> Column:
+    """One number by itself: % and currency signs around it, a sign and commas don't count."""
+    t = F.regexp_replace(F.regexp_replace(stripped(text), "^%+|%+$", ""), "^[￥$€]+|[￥$€]+$", "")
+    return F.replace(F.regexp_replace(stripped(t), "^[+-]", ""), F.lit(","), F.lit("")).rlike(NUMBER)
+
+
+def is_number_like(text: Column) -> Column:
+    """Numbers, also with a few CJK characters; dates, plain years, dashes and enumerators are not."""
+    t = stripped(text)
+    digits = F.regexp_count(t, F.lit("[0-9]"))
+    other = t.rlike(DATE) | t.rlike(YEAR_ALONE) | t.rlike(DASHES) | t.rlike(r"^[(（][0-9]{1,3}[)）]?$") | t.rlike(r"^[0-9]{1,3}[.、]$")
+    return (t != "") & ~other & (is_numeric(text) | ((digits > 0) & (cjk_count(t) <= digits)))
+
+
+def is_number_loose(text: Column) -> Column:
+    """The structure scan's test: a cell of data rather than a piece of prose, a year, a page number or a date."""
+    t = stripped(text)
+    rest = F.regexp_replace(t, r"[,，%万元亿千百人民币港美()（）\s\-.·]", "")
+    cjk, digits = cjk_count(rest), F.regexp_count(rest, F.lit("[0-9]"))
+    no = t.rlike(r"^(19|20)[0-9]{2}年?$") | t.rlike(r"^(19|20)[0-9]{2}年") | t.rlike(r"^[0-9]{1,3}$") | t.rlike(r"[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.]") | t.rlike("[0-9]{1,2}月[0-9]{1,2}日")
+    prose = rest.rlike(f"^{CJK}{{2,}}.*[0-9]") | ((cjk >= 4) & (cjk > digits)) | ((F.length(t) > 25) & (cjk > 0))
+    return (t != "") & ~no & (digits > 0) & ~prose
+
+
+def is_marker(text: Column) -> Column:
+    """Whether a text begins with the number or sign of a note."""
+    return stripped(text).rlike(MARKER)
+
+
+def without_marker(text: Column) -> Column:
+    """A text without the number or sign of a note that it begins with."""
+    return F.regexp_replace(text, MARKER, "")
+
+
+def is_summary_label(text: Column) -> Column:
+    """Labels of rows that may rightly share a value with a row above."""
+    return has_word(F.coalesce(text, F.lit("")), SHARED_VALUE_WORDS)
+
+
+def keywords(text: Column) -> Column:
+    """Parts of two or more characters between white space."""
+    return F.filter(F.split(stripped(text), r"(?U)\s+"), lambda w: F.length(w) >= 2)
+
+
+def safe_name(name: Column) -> Column:
+    """A file name without its folder and suffix, cut to 100 characters; what is no letter, digit, _ or - becomes _."""
+    base = F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", "")
+    base = F.regexp_replace(F.trim(F.regexp_replace(F.substring(base, 1, 100), r'[:*?"<>|]', "_")), r"\.+$", "")
+    return F.regexp_replace(base, r"[^\p{L}\p{N}_\-]", "_")

@@ -469,6 +469,9 @@ def append_tables(spark: SparkSession, d: str) -> DataFrame:
     return E.append_tables(c, pairs)
 
 
+from . import sheet_queries  # noqa: E402, F401  (registers its queries)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -41,3 +41,39 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ITEMS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+# Sheets: longer tables with headers, notes, units, charts and prose, whose kind is table_id % 9.
+SHEET_BASE = """
+SELECT l_partkey * 3 + l_linenumber % 3 AS table_id, (l_partkey * 3 + l_linenumber % 3) % 9 AS kind,
+       CAST(row_number() OVER (PARTITION BY l_partkey * 3 + l_linenumber % 3 ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS INT) AS row_idx,
+       l_orderkey AS k, CAST(l_quantity AS DECIMAL(18,0)) || '' AS q, CAST(l_extendedprice AS DECIMAL(18,2)) || '' AS p, CAST(l_discount * 100 AS DECIMAL(18,1)) || '%' AS d
+FROM {lineitem}
+"""
+
+
+def _case(value: str, texts: list[str]) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts)) + " ELSE '' END"
+
+
+_LABELS = _case("k % 13", ["发放贷款和垫款总额", "存放同业款项", "合计", "其中：公司贷款", "利息收入", "小计", "减：损失准备", "其他资产", " ", "注", "(1)", "第9号文件", "2023年12月31日"])
+SHEET_COLUMNS = [
+    f"""CASE WHEN kind = 1 THEN {_case("k % 4", ["经营情况讨论与分析的主要内容以及风险管理的具体说明和下一年度的工作安排以及经营目标的详细阐述", "风险管理", "", "目录"])}
+ WHEN kind = 2 THEN d WHEN kind = 3 THEN {_case("k % 5", ["业", "税", "金", "附", "加"])} WHEN kind = 4 THEN row_idx * 10 || ''
+ WHEN kind = 5 AND row_idx = 0 THEN '华夏股份有限公司' WHEN row_idx = 0 AND kind IN (0, 6, 7) THEN '项目' WHEN row_idx = 1 AND kind = 6 THEN '单位：人民币百万元'
+ WHEN k % 23 = 0 THEN '注：本表数据口径包括境内外全部机构及附属公司的信贷资产情况说明。' WHEN k % 29 = 0 THEN '1. 净利润除以年初及年末总资产平均值的比率计算所得出的结果。' WHEN k % 31 = 0 THEN '22' ELSE {_LABELS} END""",
+    f"""CASE WHEN kind IN (1, 3, 4) THEN '' WHEN kind = 2 THEN {_case("k % 3", ["公司贷款", "零售", "其他"])} WHEN row_idx = 0 AND kind IN (0, 6, 7) THEN '2024年'
+ WHEN (row_idx = 1 AND kind = 6) OR k % 23 = 0 OR k % 29 = 0 THEN '' ELSE CASE k % 7 WHEN 0 THEN '--' WHEN 1 THEN '(' || p || ')' WHEN 2 THEN p || '万元' WHEN 3 THEN '–' WHEN 4 THEN ' ' || p || ' ' ELSE p END END""",
+    """CASE WHEN row_idx = 0 AND kind = 0 THEN '2023年' WHEN row_idx = 0 AND kind = 6 THEN '本集团' WHEN row_idx = 0 AND kind = 7 THEN '本行' WHEN (row_idx = 1 AND kind = 6) OR k % 23 = 0 OR k % 29 = 0 THEN ''
+ ELSE CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN q WHEN 2 THEN p || ' ' || q ELSE p END END""",
+    "CASE WHEN row_idx = 0 AND kind = 0 THEN '变化' WHEN row_idx = 0 AND kind = 6 THEN '本行' WHEN row_idx = 0 AND kind = 7 THEN '本集团' WHEN (row_idx = 1 AND kind = 6) OR k % 23 = 0 OR k % 29 = 0 THEN '' ELSE d END",
+]
+#: Which tables have a column at all.
+SHEET_HAS = ["true", "true", "kind NOT IN (1, 2, 3, 4)", "kind NOT IN (1, 2, 3, 4, 8)"]
+SHEET_SQL = f"WITH base AS ({SHEET_BASE.format(lineitem='lineitem')}), cells AS (" + " UNION ALL ".join(f"SELECT table_id, row_idx, {c} AS col_idx, {t} AS text FROM base WHERE {h}" for c, (t, h) in enumerate(zip(SHEET_COLUMNS, SHEET_HAS, strict=True))) + ")"
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = spark.sql(SHEET_BASE, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    each = F.array(*(F.when(F.expr(h), F.struct(F.lit(c).alias("col_idx"), F.expr(t).alias("text"))) for c, (t, h) in enumerate(zip(SHEET_COLUMNS, SHEET_HAS, strict=True))))
+    return base.select("table_id", "row_idx", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("cell")).select("table_id", "row_idx", "cell.*")
