@@ -77,3 +77,17 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.sql(SHEET_BASE, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     each = F.array(*(F.when(F.expr(h), F.struct(F.lit(c).alias("col_idx"), F.expr(t).alias("text"))) for c, (t, h) in enumerate(zip(SHEET_COLUMNS, SHEET_HAS, strict=True))))
     return base.select("table_id", "row_idx", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("cell")).select("table_id", "row_idx", "cell.*")
+
+
+DRAWINGS = """
+SELECT l_suppkey % 50 AS doc_id, l_linenumber AS page_number, l_orderkey * 100000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS drawing_id,
+       CAST(l_partkey % 7 * 60 AS DOUBLE) AS x0, CAST(l_orderkey % 30 * 20 AS DOUBLE) AS y0,
+       CAST(l_partkey % 7 * 60 + CASE l_partkey % 9 WHEN 0 THEN 400 WHEN 1 THEN 300 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 250 ELSE 20 END AS DOUBLE) AS x1,
+       CAST(l_orderkey % 30 * 20 + CASE l_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 30 WHEN 2 THEN 120 WHEN 3 THEN 2 ELSE 60 END AS DOUBLE) AS y1
+FROM {lineitem} WHERE l_partkey % 31 = 0 AND l_suppkey % 50 < 40
+"""
+DRAWINGS_SQL = f", drawings AS ({DRAWINGS.format(lineitem='lineitem')})"
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(DRAWINGS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
