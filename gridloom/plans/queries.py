@@ -469,7 +469,7 @@ def append_tables(spark: SparkSession, d: str) -> DataFrame:
     return E.append_tables(c, pairs)
 
 
-from . import layout_queries, repair_queries, sheet_queries  # noqa: E402, F401  (register their queries)
+from . import layout_queries, list_queries, repair_queries, sheet_queries  # noqa: E402, F401  (register their queries)
 
 
 def queries() -> dict:
