@@ -10,6 +10,7 @@ from ..operators import lists as I
 from ..operators import merging as M
 from ..operators import quality as Q
 from ..operators import rows as R
+from ..sources import sinks as S
 from ..sources.derived import SHEET_SQL, sheets
 from .queries import query
 from .sheet_queries import BOUNDARY, CELLS, CJK, ROWS, STRIP, m, words
@@ -355,3 +356,22 @@ def safe_names(spark: SparkSession, d: str) -> DataFrame:
 @query(f" SELECT table_id, row_idx, array_to_string(list_filter(string_split_regex(s, '\\s+'), lambda w: length(w) >= 2), '|') AS words FROM (SELECT *, {STRIP} AS s FROM cells) x WHERE col_idx = 2", SHEET_SQL)
 def cell_keywords(spark: SparkSession, d: str) -> DataFrame:
     return sheets(spark, d).where("col_idx = 2").select("table_id", "row_idx", F.array_join(T.keywords(F.col("text")), "|").alias("words"))
+
+
+FIELD = "CASE WHEN regexp_matches(t, '[,\"\\r\\n]') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END"
+
+
+@query(f" SELECT table_id, row_idx + 1 AS line_no, array_to_string(list_concat(list_transform(texts, lambda t: {FIELD}), list_transform(range(max(w) OVER (PARTITION BY table_id) - w), lambda i: '')), ',') AS value FROM r UNION ALL SELECT DISTINCT table_id, 0, '# 表#' || table_id FROM r", ROWS)
+def csv_table_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, d).withColumn("texts", F.transform("texts", T.stripped))
+    grid = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "texts"))), lambda x: x["texts"]).alias("data"))
+    return S.csv_lines(grid, grid.select("table_id", F.concat(F.lit("# 表#"), F.col("table_id").cast("string")).alias("mark")))
+
+
+@query(""", z AS (SELECT table_id, max(w) AS mw, max(row_idx) AS last FROM r GROUP BY 1), u AS (SELECT table_id, 0 AS row_no, 'T' AS line FROM z UNION ALL SELECT table_id, 1, '来源: PDF第3页 | 提取方式: docx精准通道' FROM z UNION ALL SELECT table_id, 2, '' FROM z UNION ALL SELECT table_id, 3, repeat('|', (mw + 1)::INT) FROM z UNION ALL SELECT table_id, last + 5, repeat('|', (mw + 1)::INT) FROM z
+ UNION ALL SELECT r.table_id, row_idx + 4, '|' || array_to_string(texts, '|') || repeat('|', (mw - w + 1)::INT) FROM r JOIN z USING (table_id)) SELECT * FROM u""", ROWS)
+def sheet_layout(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, d).withColumn("texts", F.transform("texts", T.stripped))
+    grid = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "texts"))), lambda x: x["texts"]).alias("data"))
+    out = S.sheet_rows(grid, grid.select("table_id", F.lit("T").alias("title"), F.lit(3).alias("page"), F.lit("docx_based").alias("extractor")))
+    return out.select("table_id", "row_no", F.array_join("values", "|").alias("line"))

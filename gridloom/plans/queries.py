@@ -10,6 +10,7 @@ from ..operators import cells as C
 from ..operators import edits as E
 from ..operators import geometry as G
 from ..operators import joins as J
+from ..operators import repairs as P
 from ..sources.derived import CELLS_SQL, ITEMS_SQL, cells, items
 
 QUERIES: dict = {}
@@ -111,7 +112,7 @@ def plain_numbers(spark: SparkSession, d: str) -> DataFrame:
     return C.plain_numbers(cells(spark, d))
 
 
-@query(" SELECT * FROM cells WHERE (table_id, row_idx) IN (SELECT (table_id, row_idx) FROM cells WHERE contains(lower(text), '备注1'))".replace("(table_id, row_idx) IN (SELECT (table_id, row_idx)", "EXISTS (SELECT 1").replace("FROM cells WHERE contains(lower(text), '备注1'))", "FROM cells o WHERE o.table_id = cells.table_id AND o.row_idx = cells.row_idx AND contains(lower(o.text), '备注1'))"), CELLS_SQL)
+@query(" SELECT table_id, row_idx, col_idx, text FROM (SELECT *, bool_or(contains(lower(text), '备注1')) OVER (PARTITION BY table_id, row_idx) AS hit FROM cells) x WHERE hit", CELLS_SQL)
 def filter_rows(spark: SparkSession, d: str) -> DataFrame:
     return C.filter_rows(cells(spark, d), "备注1")
 
@@ -274,17 +275,48 @@ def region_scope(spark: SparkSession, d: str) -> DataFrame:
     return J.in_regions(i, _regions(i)).select("doc_id", "page_number", "item_id", "region_idx")
 
 
+@query(REG + f", fd AS (SELECT i.*, region_idx FROM items i JOIN regions USING ({PG}) WHERE x1 > x0 AND y1 > y0 AND (x0 + x1) / 2 BETWEEN r_x0 AND r_x1 AND (y0 + y1) / 2 BETWEEN r_y0 - 30 AND r_y1) SELECT {PG}, item_id, CAST(region_idx AS INT) AS region_idx FROM fd UNION ALL SELECT i.doc_id, i.page_number, i.item_id, CAST(r.region_idx AS INT) FROM items i JOIN regions r USING ({PG}) WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.doc_id = r.doc_id AND fd.page_number = r.page_number AND fd.region_idx = r.region_idx)", ITEMS_SQL)
+def scoped_items(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d)
+    return J.scoped_items(i, _regions(i)).select("doc_id", "page_number", "item_id", "region_idx")
+
+
+@query(f""", k AS (SELECT *, {S} AS s, regexp_replace({S}, '[, ]', '', 'g') AS key, (y0 + y1) / 2 AS mid FROM items), e AS (SELECT doc_id, page_number, item_id AS table_id, CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN s ELSE 'R' END AS label, substr(s, 2) || CASE WHEN item_id % 4 = 0 THEN 'x' ELSE '' END AS key FROM k WHERE item_id % 2 = 0),
+ a AS (SELECT e.doc_id, e.page_number, table_id, arg_min(k.mid, k.item_id) AS spot FROM e JOIN k USING (doc_id, page_number) WHERE label <> '' AND contains(s, label) GROUP BY 1, 2, 3),
+ b AS (SELECT a.doc_id, a.page_number, table_id, spot, min(y0) AS lo, max(y1) AS hi FROM a JOIN k USING (doc_id, page_number) WHERE abs(mid - spot) <= 5 GROUP BY 1, 2, 3, 4)
+ SELECT DISTINCT e.doc_id, e.page_number, e.table_id FROM e LEFT JOIN b USING (doc_id, page_number, table_id) JOIN k ON k.doc_id = e.doc_id AND k.page_number = e.page_number AND contains(k.key, e.key) AND (spot IS NULL OR (k.y1 >= lo AND k.y0 <= hi))""", ITEMS_SQL)
+def restore_in_rows(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d).withColumn("key", T.lookup_key(F.col("text")))
+    label = F.when(F.col("item_id") % 3 == 0, "").when(F.col("item_id") % 3 == 1, F.col("text")).otherwise("R")
+    key = F.concat(F.expr("substr(text, 2)"), F.when(F.col("item_id") % 4 == 0, "x").otherwise(""))
+    erased = i.where("item_id % 2 = 0").select("doc_id", "page_number", F.col("item_id").alias("table_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), key.alias("key"), label.alias("label"))
+    return J.restore_in_rows(erased, i).select("doc_id", "page_number", "table_id")
+
+
 @query(REG + f" SELECT {PG}, item_id FROM items i WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.doc_id = i.doc_id AND r.page_number = i.page_number AND (x0 + x1) / 2 BETWEEN r_x0 AND r_x1 AND (y0 + y1) / 2 BETWEEN r_y0 AND r_y1)", ITEMS_SQL)
 def orphan_items(spark: SparkSession, d: str) -> DataFrame:
     i = items(spark, d)
     return J.outside_regions(i, _regions(i)).select("doc_id", "page_number", "item_id")
 
 
-@query(f", f AS (SELECT table_id, table_id % 50 AS page, max(row_idx) + 1 AS n_rows FROM cells GROUP BY 1), t AS (SELECT DISTINCT table_id, {KEY} AS tok FROM cells WHERE col_idx IN (0, 3)), s AS (SELECT table_id, count(*) AS size FROM t GROUP BY 1), met AS (SELECT a.table_id, b.table_id AS other, count(*) AS common FROM t a JOIN f fa ON fa.table_id = a.table_id JOIN t b ON a.tok = b.tok JOIN f fb ON fb.table_id = b.table_id AND fb.n_rows = fa.n_rows AND abs(fa.page - fb.page) <= 1 WHERE a.table_id % 2 = 0 AND b.table_id % 2 = 1 GROUP BY 1, 2), rep AS (SELECT DISTINCT m.table_id FROM met m JOIN s sa ON sa.table_id = m.table_id JOIN s sb ON sb.table_id = m.other WHERE common >= 3 AND common >= 0.4 * least(sa.size, sb.size)) SELECT table_id, page, n_rows FROM f WHERE table_id % 2 = 0 AND table_id NOT IN (SELECT table_id FROM rep)", CELLS_SQL)
+#: Every table (id below zero: the other channel's, every third one, on the next page and with another first cell), its document and page.
+CHANNELS = f""", ch AS (SELECT table_id, row_idx, col_idx, text FROM cells UNION ALL SELECT -table_id, row_idx, col_idx, CASE WHEN row_idx = 0 AND col_idx = 1 THEN 'changed' ELSE text END FROM cells WHERE table_id % 3 = 0 AND table_id > 0),
+ c AS (SELECT *, {S} AS s FROM ch), tp AS (SELECT *, regexp_matches(regexp_replace(replace(s, '(', '-'), '[,%)]', '', 'g'), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') AS nm FROM c WHERE row_idx < 5),
+ hl AS (SELECT *, row_number() OVER (PARTITION BY table_id, nm ORDER BY row_idx, col_idx) AS o FROM tp WHERE length(s) >= 2), tk AS (SELECT DISTINCT table_id, lower(s) AS tok FROM hl WHERE o <= CASE WHEN nm THEN 15 ELSE 5 END), sz AS (SELECT table_id, count(*) AS size FROM tk GROUP BY 1),
+ wd AS (SELECT table_id, string_agg(w, ',' ORDER BY row_idx) AS widths FROM (SELECT table_id, row_idx, count(*) AS w FROM tp GROUP BY 1, 2) z GROUP BY 1),
+ f AS (SELECT table_id, abs(table_id) % 100 AS doc_id, abs(table_id) // 100 + CASE WHEN table_id < 0 AND table_id % 2 = 0 THEN 2 WHEN table_id < 0 THEN 1 ELSE 0 END AS page, widths, size FROM wd JOIN sz USING (table_id)),
+ met AS (SELECT a.table_id, b.table_id AS other, count(*) AS common FROM f fa JOIN f fb ON fa.doc_id = fb.doc_id AND fa.widths = fb.widths AND abs(fa.page - fb.page) <= 1 AND fa.table_id >= 0 AND fb.table_id < 0 JOIN tk a ON a.table_id = fa.table_id JOIN tk b ON b.table_id = fb.table_id AND a.tok = b.tok GROUP BY 1, 2),
+ rep AS (SELECT DISTINCT m.table_id FROM met m JOIN sz sa ON sa.table_id = m.table_id JOIN sz sb ON sb.table_id = m.other WHERE common >= 3 AND common >= 0.4 * least(sa.size, sb.size))"""
+
+
+@query(CHANNELS + " SELECT doc_id, table_id, page FROM f WHERE table_id < 0 OR table_id NOT IN (SELECT table_id FROM rep)", CELLS_SQL)
 def dedup_channels(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    t = c.groupBy("table_id").agg((F.max("row_idx") + 1).alias("n_rows"), F.collect_set(F.when(F.col("col_idx").isin(0, 3), T.lookup_key(F.col("text")))).alias("tokens")).withColumn("page", F.col("table_id") % 50)
-    return J.unmatched_by_fingerprint(t.where("table_id % 2 = 0"), t.where("table_id % 2 = 1")).select("table_id", "page", "n_rows")
+    changed = F.when((F.col("row_idx") == 0) & (F.col("col_idx") == 1), "changed").otherwise(F.col("text"))
+    both = c.unionByName(c.where("table_id % 3 = 0 and table_id > 0").select((-F.col("table_id")).alias("table_id"), "row_idx", "col_idx", changed.alias("text")))
+    later = F.expr("CASE WHEN table_id < 0 AND table_id % 2 = 0 THEN 2 WHEN table_id < 0 THEN 1 ELSE 0 END")
+    t = P.fingerprint(both).withColumns({"doc_id": F.abs("table_id") % 100, "page": F.expr("abs(table_id) div 100") + later})
+    return J.union_of_channels(t.where("table_id < 0"), t.where("table_id >= 0")).select("doc_id", "table_id", "page")
 
 
 TABS = "WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS table_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey * 7 % 60 AS INT) END AS page, o_orderstatus AS status FROM orders)"
@@ -353,7 +385,7 @@ def trim_row_edges(spark: SparkSession, d: str) -> DataFrame:
     return E.trim_row_edges(cells(spark, d))
 
 
-@query(SPAN + f" SELECT s.table_id, s.row_idx, s.col_idx, coalesce(o.text, '') AS text FROM span s LEFT JOIN span o ON o.table_id = s.table_id AND o.row_idx = s.row_idx AND o.col_idx = s.col_idx + coalesce(s.lo, 0) AND (s.lo IS NULL OR o.col_idx <= s.hi)", CELLS_SQL)
+@query(SPAN + ", moved AS (SELECT table_id, row_idx, col_idx, lo, list(text) OVER (PARTITION BY table_id, row_idx ORDER BY col_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS texts, hi FROM span) SELECT table_id, row_idx, col_idx, coalesce(CASE WHEN lo IS NULL OR col_idx + lo <= hi THEN texts[col_idx + coalesce(lo, 0) + 1] END, '') AS text FROM moved", CELLS_SQL)
 def shift_rows_left(spark: SparkSession, d: str) -> DataFrame:
     return E.shift_rows_left(cells(spark, d))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEM = "struct<text:string,x0:double,y0:double,x1:double,y1:double,font_size:double,font_name:string>"
@@ -41,3 +41,38 @@ def page_spine(docs: DataFrame, pages_: DataFrame) -> DataFrame:
 def unchanged(cached: DataFrame, current: DataFrame) -> DataFrame:
     """Cached documents whose content hash and size still hold: the others must be parsed again."""
     return cached.join(current.select("content_hash", "size"), ["content_hash", "size"], "left_semi")
+
+
+MIB = 1 << 20
+
+
+def content_hash(content: Column, overlapping: bool = False) -> Column:
+    """MD5 of the first and last MiB of a file's content.
+
+    Below 2 MiB that is the whole content, unless ``overlapping``, which takes the
+    last MiB in any case, so the middle of a smaller file counts twice.
+    """
+    size = F.octet_length(content)
+    tail = F.substring(content, F.greatest(size - MIB, F.lit(0)) + 1, F.lit(MIB))
+    rest = F.substring(content, F.lit(MIB + 1), F.lit(MIB))
+    end = tail if overlapping else F.when(size > 2 * MIB, tail).otherwise(rest)
+    return F.md5(F.concat(F.substring(content, F.lit(1), F.lit(MIB)), end))
+
+
+def cached_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a folder with their size and time, the latest first; their content isn't read, and empty files don't show."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", "modificationTime").orderBy(F.desc("modificationTime"), "path")
+
+
+def valid_cache(cached: DataFrame, current: DataFrame, version: int = 2) -> DataFrame:
+    """Cached records (content_hash, size, cache_version) of ``version`` or later whose file is as it was."""
+    return unchanged(cached.where(F.col("cache_version") >= version), current)
+
+
+def first_filled(*channels: DataFrame) -> DataFrame:
+    """Rows (doc_id, ...) of each document from the first channel that has any."""
+    out = channels[0]
+    for more in channels[1:]:
+        out = out.unionByName(more.join(out.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return out

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
 def new_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files as they arrive, with a hash of their content."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).load(path)
     return files.withColumn("content_hash", F.sha2("content", 256))
 
 

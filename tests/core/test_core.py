@@ -55,10 +55,11 @@ def test_pages(spark):
 
 
 def test_unmatched_by_fingerprint(spark):
-    schema = "table_id long, page int, n_rows int, tokens array<string>"
-    left = spark.createDataFrame([(1, 1, 2, list("abc")), (2, 5, 2, list("abc")), (3, 1, 3, list("abc"))], schema)
-    right = spark.createDataFrame([(9, 2, 2, list("abcd"))], schema)
-    assert sorted(r.table_id for r in J.unmatched_by_fingerprint(left, right).collect()) == [2, 3]
+    schema = "doc_id long, table_id long, page int, widths array<int>, tokens array<string>"
+    left = [(1, 1, 1, [2, 2], list("abc")), (1, 2, 5, [2, 2], list("abc")), (1, 3, 1, [2, 3], list("abc")), (2, 4, 1, [2, 2], list("abc")), (1, 5, 1, [2, 2], list("abxyzuvw")), (1, 6, 1, [2, 2], list("ab"))]
+    left, right = spark.createDataFrame(left, schema), spark.createDataFrame([(1, 9, 2, [2, 2], list("abcd"))], schema)
+    assert sorted(r.table_id for r in J.unmatched_by_fingerprint(left, right).collect()) == [2, 3, 4, 5, 6]
+    assert sorted(r.table_id for r in J.union_of_channels(right, left).collect()) == [2, 3, 4, 5, 6, 9]
 
 
 def test_entry_imports():
