@@ -180,6 +180,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, sequence: int = 1024, k
         del wave
         remove(spark, f"{folder}/_placed/wave={k}")
         release(spark)
+    remove(spark, f"{folder}/_placed")
     if not total:
         spark.createDataFrame([], MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")

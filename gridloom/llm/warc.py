@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast, scratch, stored
+from .common import maybe_broadcast, remove, scratch, stored
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -175,7 +175,10 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 256 << 20, range_byte
         columns = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())], MANIFEST.names)
 
-    return stored(records.mapInArrow(run, MANIFEST), f"{folder}/_manifest")
+    manifest = stored(records.mapInArrow(run, MANIFEST), f"{folder}/_manifest")
+    for done in ("_groups", "_keys", "_sorted", "_temporary"):
+        remove(spark, f"{folder}/{done}")
+    return manifest
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
