@@ -254,3 +254,33 @@ def rows_with_values(cells: DataFrame, column: int, allowed: list[str]) -> DataF
         return cells
     hit = F.max((F.col("col_idx") == column) & T.stripped(F.col("text")).isin(allowed)).over(row_window())
     return cells.withColumn("hit", hit).where("hit").drop("hit")
+
+
+def merge_split_headers(cells: DataFrame, most: float = 0.6) -> DataFrame:
+    """Joins header cells that stand in two rows over a column of numbers; blank rows go and rows are padded.
+
+    Of the first two pairs of neighbouring rows only the first with such a column
+    is joined.  Both texts have no digit, at most 8 characters each and 15
+    together.  A lower text of a sub-header stays: a short one in a row with two or
+    more short texts without a digit, above which at most one text, or always the
+    same, stands.  Tables of fewer than three rows are only padded.
+    """
+    whole = dense(cells).withColumn("s", T.stripped(F.col("text"))).withColumn("n", F.max("row_idx").over(table_window()) + 1)
+    body = F.col("row_idx") >= F.least(F.lit(2), F.greatest(F.lit(1), F.floor(F.col("n") / 2)))
+    held = body & (F.col("s") != "")
+    numeric = whole.groupBy("table_id", "col_idx").agg((F.count_if(held & T.is_typed_number(F.col("s"))) > F.count_if(held) * most).alias("numeric"))
+    plain = ~F.col("s").rlike("[0-9]")
+    lower = whole.where("row_idx in (1, 2) and n >= 3").select("table_id", F.col("row_idx").alias("low"), "col_idx", F.col("s").alias("b"), plain.alias("b_plain"))
+    upper = whole.where("row_idx in (0, 1) and n >= 3").select("table_id", (F.col("row_idx") + 1).alias("low"), "col_idx", F.col("s").alias("a"), plain.alias("a_plain"))
+    both = lower.join(upper, ["table_id", "low", "col_idx"]).join(numeric, ["table_id", "col_idx"])
+    short = (F.col("b") != "") & (F.length("b") <= 5) & F.col("b_plain")
+    pair = Window.partitionBy("table_id", "low")
+    parent = F.when(short & (F.col("a") != ""), F.col("a"))
+    both = both.withColumns({"shorts": F.count_if(short).over(pair), "parents": F.count(parent).over(pair), "one": F.min(parent).over(pair) == F.max(parent).over(pair)})
+    child = (F.length("b") <= 5) & (F.col("shorts") >= 2) & ((F.col("parents") <= 1) | F.col("one"))
+    joins = (F.col("a") != "") & (F.col("b") != "") & ~child & (F.length("a") <= 8) & (F.length("b") <= 8) & (F.length("a") + F.length("b") <= 15) & F.col("numeric") & F.col("a_plain") & F.col("b_plain")
+    merged = both.where(joins).withColumn("first", F.min("low").over(Window.partitionBy("table_id"))).where("low = first")
+    patch = merged.select("table_id", "col_idx", F.explode(F.array(F.struct((F.col("low") - 1).alias("row_idx"), F.concat("a", "b").alias("text")), F.struct(F.col("low").alias("row_idx"), F.lit("").alias("text")))).alias("p"))
+    out = overlay(whole.select("table_id", "row_idx", "col_idx", "text"), patch.select("table_id", "p.row_idx", "col_idx", "p.text"))
+    full = out.withColumn("full", F.max(~T.is_blank(F.col("text"))).over(row_window())).where("full").drop("full")
+    return renumbered(full, "row_idx")

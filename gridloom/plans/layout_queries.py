@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import geometry as G
+from ..operators import joins as J
 from ..operators import layout as L
 from ..sources.derived import DRAWINGS_SQL, ITEMS_SQL, drawings, items
 from .queries import query
@@ -234,3 +235,18 @@ def financial_pages(spark: SparkSession, d: str) -> DataFrame:
     t = F.expr("CASE l_partkey % 4 WHEN 0 THEN '资产' WHEN 1 THEN 'none' WHEN 2 THEN repeat('利润 1,234 ', CAST(l_linenumber AS INT)) ELSE repeat('text ', 20) END")
     pages = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), t.alias("text"))
     return pages.select("doc_id", L.is_financial(F.col("text")).alias("any_length"), L.is_financial(F.col("text"), 50).alias("over_50"), L.is_financial(F.col("text"), 49).alias("from_50"))
+
+
+@query(f", lb AS (SELECT DISTINCT {PG}, substr(text, 1, 1) AS label FROM items WHERE item_id % 3 = 0), mi AS (SELECT *, (y0 + y1) / 2 AS mid FROM items), an AS (SELECT lb.doc_id, lb.page_number, label, arg_min(mid, item_id) AS spot FROM lb JOIN mi USING ({PG}) WHERE contains(text, label) GROUP BY 1, 2, 3) SELECT an.doc_id, an.page_number, label, min(y0) AS lo, max(y1) AS hi FROM an JOIN mi USING ({PG}) WHERE abs(mid - spot) <= 5 GROUP BY 1, 2, 3", ITEMS_SQL)
+def label_rows(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d)
+    return J.label_rows(i, i.where("item_id % 3 = 0").select("doc_id", "page_number", F.expr("substr(text, 1, 1)").alias("label")))
+
+
+@query(f""", tx AS (SELECT DISTINCT {PG}, item_id % 3 AS table_id, CASE WHEN item_id % 2 = 0 THEN text || '0' ELSE text END AS own FROM items WHERE item_id % 11 = 0), mt AS (SELECT DISTINCT tx.doc_id, tx.page_number, table_id, item_id, (y0 + y1) / 2 AS mid FROM tx JOIN items USING ({PG}) WHERE contains(text, own) OR contains(own, text)),
+ rk AS (SELECT *, count(*) OVER (PARTITION BY {PG}, table_id) AS n, row_number() OVER (PARTITION BY {PG}, table_id ORDER BY mid, item_id) AS k FROM mt), co AS (SELECT {PG}, table_id, min(mid) AS lo, max(mid) AS hi FROM rk WHERE n >= 3 AND k > floor(n * 0.1) AND k <= n - floor(n * 0.1) GROUP BY 1, 2, 3)
+ SELECT {PG}, table_id, greatest(0.0, lo - greatest(60.0, (hi - lo) * 0.2)) AS top, hi + greatest(60.0, (hi - lo) * 0.2) AS bottom FROM co""", ITEMS_SQL)
+def table_heights(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d)
+    own = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit("0"))).otherwise(F.col("text"))
+    return J.table_heights(i.where("item_id % 11 = 0").select("doc_id", "page_number", (F.col("item_id") % 3).alias("table_id"), own.alias("text")), i)

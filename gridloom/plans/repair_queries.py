@@ -172,3 +172,26 @@ def delete_columns(spark: SparkSession, d: str) -> DataFrame:
 @query(f", hit AS (SELECT table_id, row_idx FROM cells WHERE col_idx = 0 AND {STRIP} IN ('合计', '利息收入', '项目')) SELECT cells.* FROM cells JOIN hit USING (table_id, row_idx)", SHEET_SQL)
 def filter_column(spark: SparkSession, d: str) -> DataFrame:
     return P.rows_with_values(sheets(spark, d), 0, ["合计", "利息收入", "项目"])
+
+
+#: The sheets with two rows of a split header put above them; every second table's lower row has sub-headers.
+SPLIT_TOP = {0: ("项", "目"), 1: ("本年", "CASE WHEN table_id % 2 = 0 THEN '金额' ELSE '年末余额' END"), 2: ("CASE WHEN table_id % 3 = 0 THEN '本年' ELSE '上年' END", "CASE WHEN table_id % 2 = 0 THEN '占比' ELSE '年初余额表' END")}
+SPLIT_ROWS = [(r, c, x if x.startswith("CASE") else f"'{x}'") for c, pair in SPLIT_TOP.items() for r, x in enumerate(pair)]
+SPLIT = SHEET_SQL.replace(", cells AS (", ", low AS (") + ", cells AS (SELECT table_id, row_idx + 2 AS row_idx, col_idx, text FROM low WHERE row_idx >= 2 AND table_id % 9 = 0" + "".join(f" UNION ALL SELECT table_id, {r}, {c}, {x} FROM (SELECT DISTINCT table_id FROM low WHERE table_id % 9 = 0) z" for r, c, x in SPLIT_ROWS) + ")"
+HEADERS = f""", x AS (SELECT *, max(row_idx) OVER (PARTITION BY table_id) + 1 AS n FROM c), nm AS (SELECT table_id, col_idx, count(*) FILTER (s <> '' AND row_idx >= least(2, greatest(1, n // 2)) AND {m(drop("replace(s, '(', '-')", ',)%‰'), NUM)}) > 0.6 * count(*) FILTER (s <> '' AND row_idx >= least(2, greatest(1, n // 2))) AS numeric FROM x GROUP BY 1, 2),
+ b0 AS (SELECT l.table_id, l.row_idx AS low, l.col_idx, u.s AS a, l.s AS b, numeric, l.s <> '' AND length(l.s) <= 5 AND NOT {m('l.s', '[0-9]')} AS short FROM x l JOIN x u ON u.table_id = l.table_id AND u.row_idx = l.row_idx - 1 AND u.col_idx = l.col_idx JOIN nm ON nm.table_id = l.table_id AND nm.col_idx = l.col_idx WHERE l.row_idx IN (1, 2) AND l.n >= 3),
+ b1 AS (SELECT *, count(*) FILTER (short) OVER w AS sh, count(CASE WHEN short THEN nullif(a, '') END) OVER w AS pa, min(CASE WHEN short THEN nullif(a, '') END) OVER w = max(CASE WHEN short THEN nullif(a, '') END) OVER w AS one FROM b0 WINDOW w AS (PARTITION BY table_id, low)),
+ mg AS (SELECT *, min(low) OVER (PARTITION BY table_id) AS fst FROM b1 WHERE a <> '' AND b <> '' AND NOT (length(b) <= 5 AND sh >= 2 AND (pa <= 1 OR one)) AND length(a) <= 8 AND length(b) <= 8 AND length(a) + length(b) <= 15 AND numeric AND NOT {m('a || b', '[0-9]')}),
+ o AS (SELECT c.table_id, c.row_idx, c.col_idx, CASE WHEN g.low = c.row_idx + 1 THEN g.a || g.b WHEN g.low = c.row_idx THEN '' ELSE c.text END AS text FROM c LEFT JOIN (SELECT * FROM mg WHERE low = fst) g ON g.table_id = c.table_id AND g.col_idx = c.col_idx AND c.row_idx IN (g.low, g.low - 1)),
+ f AS (SELECT *, bool_or(trim(text) <> '') OVER (PARTITION BY table_id, row_idx) AS full_row FROM o)
+ SELECT table_id, CAST(dense_rank() OVER (PARTITION BY table_id ORDER BY row_idx) - 1 AS INT) AS row_idx, col_idx, text FROM f WHERE full_row"""
+
+
+@query(DENSE + HEADERS, SPLIT)
+def merge_split_headers(spark: SparkSession, d: str) -> DataFrame:
+    low = sheets(spark, d).where("table_id % 9 = 0")
+    ids = low.select("table_id").distinct()
+    both = low.where("row_idx >= 2").withColumn("row_idx", F.col("row_idx") + 2)
+    for r, c, x in SPLIT_ROWS:
+        both = both.unionByName(ids.select("table_id", F.lit(r).alias("row_idx"), F.lit(c).alias("col_idx"), F.expr(x).alias("text")))
+    return P.merge_split_headers(both)
