@@ -365,6 +365,8 @@ def merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 class Bucket:
     """Restaurants of some contexts: their pairs, tables of the pairs, sums of tables and tables of contexts in the sweeps that count."""
 
+    fixed: list[bytes] | None = None
+
     def __init__(self, data: tuple):
         contexts, runs, words, self.word, counts, self.spread, tables, self.summed, self.past = data
         self.contexts, self.runs, self.words, self.counts, self.tables = contexts, runs.astype(np.int64), words, counts.astype(np.int64), tables.astype(np.int64)
@@ -377,13 +379,17 @@ class Bucket:
 
     @classmethod
     def read(cls, r: tuple) -> Bucket:
-        contexts, runs, words, word, counts, spread, tables, summed, *past = map(loose, unbundled(r[3]))
-        return cls((np.cumsum(contexts, dtype=np.uint64), runs, np.cumsum(words, dtype=np.uint64), word.astype(np.int64), counts, spread, tables, summed.astype(np.int64), past))
+        parts = unbundled(r[3])
+        contexts, runs, words, word, counts, spread, tables, summed, *past = map(loose, parts)
+        bucket = cls((np.cumsum(contexts, dtype=np.uint64), runs, np.cumsum(words, dtype=np.uint64), word.astype(np.int64), counts, spread, tables, summed.astype(np.int64), past))
+        bucket.fixed = parts[:6]  # what no sweep changes stays compressed
+        return bucket
 
     def row_of(self, number: int) -> tuple:
-        arrays = [steps(self.contexts), self.runs, steps(self.words), self.word, self.counts, self.spread, self.tables, self.summed, *self.past]
+        if self.fixed is None:
+            self.fixed = [squeeze(x) for x in (steps(self.contexts), self.runs, steps(self.words), self.word, self.counts, self.spread)]
         ones, twos = float((self.counts == 1).sum()), float((self.counts == 2).sum())
-        return row(number, 0, 0, bundled([squeeze(x) for x in arrays]), x=ones, y=twos, z=float(self.counts.sum()))
+        return row(number, 0, 0, bundled([*self.fixed, *(squeeze(x) for x in (self.tables, self.summed, *self.past))]), x=ones, y=twos, z=float(self.counts.sum()))
 
     def per_context(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.context, weights=values, minlength=len(self.contexts)).astype(np.int64)
