@@ -328,3 +328,16 @@ def captions(items: DataFrame, regions: DataFrame, margin: float = 60.0) -> Data
     s = T.stripped(F.col("text"))
     hit = met.where(F.exists("words", lambda w: F.contains(s, w) | F.contains(w, s)))
     return hit.groupBy(*PAGE, "item_id").agg(F.min("region_idx").alias("region_idx"))
+
+
+def begins_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
+    """(item, region) where the item's upper left corner is in the region."""
+    return items.join(regions, PAGE).where(F.col("x0").between(F.col("r_x0"), F.col("r_x1")) & F.col("y0").between(F.col("r_y0"), F.col("r_y1")))
+
+
+def row_records(rows: DataFrame) -> DataFrame:
+    """A record for each row (items with row_idx): its height, and its texts, look-up keys and x ranges from left to right."""
+    item = F.struct("x0", "item_id", "x1", "text")
+    per = rows.groupBy(*PAGE, "row_idx").agg(F.min("y0").alias("y_min"), F.max("y1").alias("y_max"), F.array_sort(F.collect_list(item)).alias("i"))
+    each = lambda f: F.transform("i", f)
+    return per.select(*PAGE, "row_idx", "y_min", "y_max", each(lambda x: x["text"]).alias("texts"), each(lambda x: T.lookup_key(x["text"])).alias("keys"), each(lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"))).alias("ranges"))

@@ -199,3 +199,13 @@ def without_key(tables: DataFrame) -> DataFrame:
 
 def labels_of(rows: DataFrame) -> DataFrame:
     return rows.select("table_id", "row_idx", R.label(F.col("texts")).alias("label"))
+
+
+def confidence_counts(results: DataFrame) -> DataFrame:
+    """Correction results of a document by confidence."""
+    return results.groupBy("doc_id", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pages_of_kind(pages: DataFrame, kind: str) -> DataFrame:
+    """Pages with tables (tables) or in error (errors)."""
+    return pages.where("is_table_page" if kind == "tables" else "error is not null")

@@ -346,3 +346,9 @@ def filtered_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
     out = tables.withColumn("first_on_page", first).join(per, "table_id", "left").join(even, "table_id", "left").na.fill(0, ["n", "digits", "held", "single", "narrow", "n_values"])
     keep = F.when(c("n") < 2, c("first_on_page") & (c("digits") >= 2)).otherwise(c("digits") > 0) & ~F.coalesce(chart, F.lit(False))
     return out.where(keep).select(tables.columns)
+
+
+def nearby_data(rows: DataFrame, before: int = 5, after: int = 4) -> DataFrame:
+    """Per row: how many of the rows just before and just after it are data."""
+    data = F.count_if(R.is_data(F.col("texts")))
+    return rows.withColumns({"data_before": data.over(by_row().rowsBetween(-before, -1)), "data_after": data.over(by_row().rowsBetween(1, after))}).select("table_id", "row_idx", "data_before", "data_after")

@@ -176,3 +176,8 @@ def similarity(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(*rest))
     overlap = common / (F.size(rest[0]) + F.size(rest[1]) - common)
     return F.coalesce(F.when(match == 0, 0.0).when((F.size(rest[0]) == 0) | (F.size(rest[1]) == 0), match).otherwise(0.4 * match + 0.6 * overlap), F.lit(0.0))
+
+
+def has_numbers(texts: Column) -> Column:
+    """At least 30 % of the texts (and one) pass the filler's number test."""
+    return count_where(texts, T.is_fill_number) >= F.greatest(F.lit(1.0), F.size(texts) * 0.3)

@@ -250,3 +250,17 @@ def table_heights(spark: SparkSession, d: str) -> DataFrame:
     i = items(spark, d)
     own = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit("0"))).otherwise(F.col("text"))
     return J.table_heights(i.where("item_id % 11 = 0").select("doc_id", "page_number", (F.col("item_id") % 3).alias("table_id"), own.alias("text")), i)
+
+
+@query(REG + f" SELECT i.doc_id, i.page_number, item_id, CAST(region_idx AS INT) AS region_idx FROM items i JOIN rg r ON r.doc_id = i.doc_id AND r.page_number = i.page_number AND x0 BETWEEN r_x0 AND r_x1 AND y0 BETWEEN r_y0 AND r_y1", ITEMS_SQL)
+def begins_in_regions(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d)
+    return L.begins_in_regions(i, _regions(i)).select("doc_id", "page_number", "item_id", "region_idx")
+
+
+@query(FONT + _fold("y_mid", False) + f" SELECT {PG}, row_idx, min(y0) AS y_min, max(y1) AS y_max, string_agg(text, '|' ORDER BY x0, item_id) AS texts, string_agg(x0 || '-' || x1, '|' ORDER BY x0, item_id) AS ranges FROM f JOIN items USING ({PG}, item_id) GROUP BY 1, 2, 3", RECURSIVE)
+def row_records(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d)
+    out = L.row_records(L.leader_rows(i, G.font_threshold(i)))
+    ranges = F.transform("ranges", lambda x: F.concat(x["x0"].cast("string"), F.lit("-"), x["x1"].cast("string")))
+    return out.select("doc_id", "page_number", "row_idx", "y_min", "y_max", F.array_join("texts", "|").alias("texts"), F.array_join(ranges, "|").alias("ranges"))

@@ -375,3 +375,15 @@ def sheet_layout(spark: SparkSession, d: str) -> DataFrame:
     grid = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "texts"))), lambda x: x["texts"]).alias("data"))
     out = S.sheet_rows(grid, grid.select("table_id", F.lit("T").alias("title"), F.lit(3).alias("page"), F.lit("docx_based").alias("extractor")))
     return out.select("table_id", "row_no", F.array_join("values", "|").alias("line"))
+
+
+@query(" SELECT doc_id, confidence, count(*) AS n FROM t GROUP BY 1, 2", LIST)
+def confidence_counts(spark: SparkSession, d: str) -> DataFrame:
+    return I.confidence_counts(_list(spark, d))
+
+
+@query(" SELECT doc_id, page_number, 'tables' AS kind FROM p WHERE is_table_page UNION ALL SELECT doc_id, page_number, 'errors' FROM p WHERE error IS NOT NULL", PAGE_LIST)
+def pages_of_kind(spark: SparkSession, d: str) -> DataFrame:
+    p = _pages(spark, d)
+    both = [I.pages_of_kind(p, k).select("doc_id", "page_number", F.lit(k).alias("kind")) for k in ("tables", "errors")]
+    return both[0].unionByName(both[1])

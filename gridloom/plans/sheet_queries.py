@@ -321,3 +321,18 @@ def filter_tables(spark: SparkSession, d: str) -> DataFrame:
 def row_similarity(spark: SparkSession, d: str) -> DataFrame:
     out = _rows(spark, d).withColumn("above", F.lag("texts").over(Q.by_row())).where("above is not null")
     return out.select("table_id", "row_idx", F.round(R.similarity(F.col("above"), F.col("texts")), 6).alias("likeness"))
+
+
+@query(QUALITY + """, qq AS (SELECT table_id, has_header, good > 0 AS has_numeric_data, good AS numeric_col_count, row_count, col_count, rl AS is_real_table, is_complete, CASE WHEN rl AND is_complete THEN '财务数据表' WHEN rl THEN '数据表(缺表头)' WHEN toc THEN '目录' WHEN good = 0 THEN '文本列表' ELSE '非标准表格' END AS table_category FROM q2) SELECT * FROM qq""", ROWS)
+def table_quality_again(spark: SparkSession, d: str) -> DataFrame:
+    return Q.table_quality(_rows(spark, d), fallback=False)
+
+
+@query(", dt AS (SELECT *, solid > 0 AND entities < 2 AND likes >= greatest(1, solid // 2) AS is_data FROM h) SELECT table_id, row_idx, count(*) FILTER (is_data) OVER (PARTITION BY table_id ORDER BY row_idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS data_before, count(*) FILTER (is_data) OVER (PARTITION BY table_id ORDER BY row_idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS data_after FROM dt", ROWS)
+def nearby_data(spark: SparkSession, d: str) -> DataFrame:
+    return Q.nearby_data(_rows(spark, d))
+
+
+@query(f" SELECT table_id, row_idx, count(*) FILTER ({m(signed(drop('s', ',%')), '^-?[0-9]+' + chr(92) + '.?[0-9]*$')}) >= greatest(1.0, count(*) * 0.3) AS has_numbers FROM c GROUP BY 1, 2", CELLS)
+def rows_with_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d).select("table_id", "row_idx", R.has_numbers(F.col("texts")).alias("has_numbers"))
