@@ -166,11 +166,34 @@ def first_labels(rows: DataFrame, most: int = 5) -> DataFrame:
     return first.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "label"))), lambda x: x["label"]).alias("labels"))
 
 
+def _subsets(labels: Column) -> Column:
+    """Subsets of one to three elements of a sorted array."""
+    after = lambda i: F.slice(labels, i + 2, F.size(labels))
+    ones = F.transform(labels, lambda x: F.array(x))
+    twos = F.flatten(F.transform(labels, lambda x, i: F.transform(after(i), lambda y: F.array(x, y))))
+    threes = F.flatten(F.transform(labels, lambda x, i: F.flatten(F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z: F.array(x, y, z))))))
+    return F.concat(ones, twos, threes)
+
+
 def best_region(labels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Per table (page_number, table_id, labels) the region of its page whose text has most of its first three labels, the first where equal; none without any."""
-    n = F.size(F.filter(F.slice("labels", F.lit(1), F.lit(3)), lambda t: F.contains(F.col("region_text"), t)))
-    scored = labels.join(regions.select("page_number", "region_idx", "region_text"), "page_number").withColumn("n", n).where("n > 0")
-    return scored.groupBy("page_number", "table_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "region_idx")).alias("b")).select("page_number", "table_id", "b.region_idx")
+    """Per table (page_number, table_id, labels) the region of its page whose text has most of its first three labels, the first where equal; none without any.
+
+    Different labels meet different texts once; then the first region of each
+    subset of up to three labels serves all tables with those labels.
+    """
+    tables = labels.select("page_number", "table_id", F.array_sort(F.filter(F.slice("labels", F.lit(1), F.lit(3)), lambda t: t.isNotNull())).alias("own")).repartition("page_number", "table_id")
+    # counts the ids so that both readers of the tables need the same columns and share one exchange
+    kinds = tables.groupBy("page_number", "own").agg(F.count("table_id").alias("n")).where("n >= 0").drop("n")
+    words = kinds.select("page_number", F.explode("own").alias("label")).distinct()
+    texts = regions.groupBy("page_number", "region_text").agg(F.min("region_idx").alias("region_idx"))
+    held = texts.join(words, "page_number").where(F.contains("region_text", "label")).groupBy("page_number", "region_text").agg(F.min("region_idx").alias("region_idx"), F.array_sort(F.collect_set("label")).alias("held"))
+    sets = held.groupBy("page_number", "held").agg(F.min("region_idx").alias("region_idx"))
+    first = sets.select("page_number", "region_idx", F.explode(_subsets(F.col("held"))).alias("part")).groupBy("page_number", "part").agg(F.min("region_idx").alias("region_idx"))
+    parts = kinds.select("page_number", "own", F.explode(_subsets(F.array_distinct("own"))).alias("part"))
+    n = F.size(F.filter("own", lambda t: F.array_contains("part", t)))
+    chosen = parts.join(first, ["page_number", "part"]).groupBy("page_number", "own").agg(F.min(F.struct((-n).alias("m"), "region_idx")).alias("b"))
+    best = tables.join(chosen, ["page_number", "own"]).groupBy("page_number", "table_id").agg(F.min("b").alias("b"))
+    return best.select("page_number", "table_id", "b.region_idx")
 
 
 def is_image_document(pages: DataFrame) -> DataFrame:

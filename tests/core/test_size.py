@@ -44,3 +44,21 @@ def test_row_folds(spark):
             at, row = ((at + y) / 2 if follow else at, row) if joins else (y, row + 1)
             expected[k] = row
         assert {r.item_id: r.row_idx for r in rows(some, narrow).collect()} == expected
+
+
+def test_best_region(spark):
+    dealt = random.Random(2)
+    words = ["a", "ab", "b", "c d", "d", "ef", "f"]
+    labels = [(p, t, [dealt.choice(words) for _ in range(dealt.randrange(5))]) for p in (1, 2) for t in range(p * 100, p * 100 + 60)]
+    regions = [(dealt.choice((1, 2)), k, " ".join(dealt.choice(words) for _ in range(dealt.randrange(4)))) for k in range(30)]
+    expected = set()
+    for p, t, own in labels:
+        scored = [(-sum(x in text for x in own[:3]), k) for q, k, text in regions if q == p]
+        if min(scored)[0]:
+            expected.add((p, t, min(scored)[1]))
+    tables, texts = spark.createDataFrame(labels, "page_number int, table_id long, labels array<string>"), spark.createDataFrame(regions, "page_number int, region_idx long, region_text string")
+    assert {tuple(r) for r in I.best_region(tables, texts).collect()} == expected
+    tables = spark.range(100000).selectExpr("1 AS page_number", "id AS table_id", "array('x', string(id % 9)) AS labels")
+    texts = spark.range(100000).selectExpr("1 AS page_number", "id AS region_idx", "repeat(string(id % 7), 60) AS region_text")
+    got = done_within(60, I.best_region(tables, texts).groupBy("region_idx").count())
+    assert {r.region_idx for r in got} == set(range(7)) and sum(r["count"] for r in got) == sum(1 for k in range(100000) if k % 9 < 7)
