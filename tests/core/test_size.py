@@ -62,3 +62,18 @@ def test_best_region(spark):
     texts = spark.range(100000).selectExpr("1 AS page_number", "id AS region_idx", "repeat(string(id % 7), 60) AS region_text")
     got = done_within(60, I.best_region(tables, texts).groupBy("region_idx").count())
     assert {r.region_idx for r in got} == set(range(7)) and sum(r["count"] for r in got) == sum(1 for k in range(100000) if k % 9 < 7)
+
+
+def test_context_score(spark):
+    page = "page 12 net 合计数 ABC " * 20
+    cases = [("net", True), ("xx\nnet", False), ("AB\nzz", True), ("qqq", True), ("", True)]
+    per = spark.range(200).select(F.col("id").alias("table_id"), F.lit(page).alias("page"), F.array(*(F.struct(F.lit(k).alias("row_idx"), F.lit(c).alias("context"), F.lit(h).alias("has_region")) for k, (c, h) in enumerate(cases))).alias("contexts"))
+    got = done_within(60, M.context_scores(per).groupBy("row_idx").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("row_idx"))
+    one = spark.createDataFrame([(k, c, h, page) for k, (c, h) in enumerate(cases)], "k int, c string, h boolean, p string").select("k", M.context_score(F.col("c"), F.col("p"), F.col("h")).alias("s")).orderBy("k").collect()
+    assert [r.lo for r in got] == [r.hi for r in got] == [r.s for r in one] and [round(r.s, 3) for r in one] == [0.79, 0.395, 0.0, 0.0, 0.0]
+
+
+def test_ngrams_read_the_text_once(spark):
+    df = spark.range(12).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("é x"), 10000)).alias("t"))
+    got = done_within(60, df.select(F.size(T.char_ngrams(F.regexp_replace("t", r"\s+", ""), 2)).alias("n")))
+    assert {r.n for r in got} == {3, 4}
