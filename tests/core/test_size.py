@@ -77,3 +77,10 @@ def test_ngrams_read_the_text_once(spark):
     df = spark.range(12).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("é x"), 10000)).alias("t"))
     got = done_within(60, df.select(F.size(T.char_ngrams(F.regexp_replace("t", r"\s+", ""), 2)).alias("n")))
     assert {r.n for r in got} == {3, 4}
+
+
+def test_distinctive_share(spark):
+    texts = spark.range(200000).select(F.lit(1).alias("doc_id"), F.col("id").alias("text_id"), F.expr("repeat(concat('total ', id % 2), 30)").alias("text")).unionByName(spark.createDataFrame([(1, -1, ""), (None, -2, "abcde")], "doc_id int, text_id long, text string"))
+    common = spark.createDataFrame([(1, g) for g in ("tota", "otal", "tal0", "al0t", "l0to", "0tot")], "doc_id int, gram string")
+    got = done_within(60, M.distinctive_share(texts, common).groupBy("share", "distinctive").count())
+    assert {(round(r.share, 3), r.distinctive, r["count"]) for r in got} == {(0.0, False, 100001), (round((177 - 60) / 177, 3), True, 100000), (1.0, True, 1)}
