@@ -84,3 +84,18 @@ def test_distinctive_share(spark):
     common = spark.createDataFrame([(1, g) for g in ("tota", "otal", "tal0", "al0t", "l0to", "0tot")], "doc_id int, gram string")
     got = done_within(60, M.distinctive_share(texts, common).groupBy("share", "distinctive").count())
     assert {(round(r.share, 3), r.distinctive, r["count"]) for r in got} == {(0.0, False, 100001), (round((177 - 60) / 177, 3), True, 100000), (1.0, True, 1)}
+
+
+def test_token_pages(spark):
+    tokens = [(1, "1,234.50"), (1, "a b"), (1, "b c1"), (1, "Net"), (1, "none"), (2, "2345"), (1, ""), (1, "34.5")]
+    pages = [(1, 1, "x 1234.50万元 a"), (1, 2, "b 1,234.50 a b"), (1, 3, "a b c1 net"), (2, 4, "12345678"), (2, 5, "1 2 345"), (1, 6, ""), (1, 7, None)]
+    expected = {}
+    for d, t in tokens:
+        hit = {p for e, p, text in pages if e == d and text is not None and any(f in text.lower() for f in (t.lower(), t.lower().replace(",", "")))}
+        if hit:
+            expected[d, t] = len(hit)
+    got = M.token_pages(spark.createDataFrame(tokens, "doc_id int, token string"), spark.createDataFrame(pages, "doc_id int, page_number int, text string"))
+    assert {(r.doc_id, r.token): r.pages for r in got.collect()} == expected
+    tokens = spark.range(30000).selectExpr("1 AS doc_id", "string(id + 100000) AS token")
+    pages = spark.range(30000).selectExpr("1 AS doc_id", "id AS page_number", "concat('no ', id + 100000, '.50 end') AS text")
+    assert [tuple(r) for r in done_within(60, M.token_pages(tokens, pages).groupBy("pages").count())] == [(1, 30000)]
