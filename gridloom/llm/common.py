@@ -7,13 +7,18 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size of a table that is broadcast; above it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Text that a Python task turns into strings, and rows that it returns, at once.
+SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -69,6 +74,19 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def slices(batches: Iterable[pa.RecordBatch], where: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in order, in slices of about ``most`` bytes of text in column ``where``; a longer text is one whole.
+
+    A batch may be tens of MB; its strings and its results would be as much again,
+    here and in the buffers of Spark that receive the results.
+    """
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(where)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(ends)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield b.slice(low, high - low)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import slices, tidy
 
 BITS = 13
 FEATURES = 1 << BITS
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches):
         m = sent.value
-        for b in batches:
+        for b in slices(batches, where):
             texts = b.column(where).to_pylist()
             lang, score, unsure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
             real = [k for k, t in enumerate(texts) if m and t and has_letter(t)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import tidy
+from .common import slices, tidy
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequences that one task can number.
@@ -86,7 +86,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind_of), *(pa.array(c, pa.int64()) for c in columns[1:])], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         kind_of = None
-        for b in batches:
+        for b in slices(batches, 1):
             kind_of, rows = b.column(0).type, []
             texts = (x if x is not None else "" for x in b.column(1).to_pylist())
             for doc, ids in zip(b.column(0).to_pylist(), bpe.encode(texts), strict=True):

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import slices, tidy
 from .ecoc_langid import FOLD
 
 SHARED, ORDER, DISCOUNT = 3, 6, 0.75
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PAD = b"\0" * ORDER
-BATCH_BYTES = 400_000
+BATCH_BYTES = 100_000
 
 
 def prepared(text: str | None) -> bytes:
@@ -269,7 +269,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col:
 
     def run(batches):
         m = sent.value
-        for b in batches:
+        for b in slices(batches, where):
             texts = b.column(where).to_pylist()
             out = m.score(texts) if m and texts else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*names, out_col])

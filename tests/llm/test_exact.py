@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,3 +363,16 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_large_batches_are_worked_in_slices(spark, monkeypatch):
+    text = [None, "", "zorg blat " * 300_000, *(f"text {k} " * 300 for k in range(5000)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), pa.array(text)], ["doc_id", "text"])
+    docs, runs = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *_: runs.append(run) or self)
+    toxicity_kn.score(docs, None), ecoc_langid.predict(docs, None)
+    for run in runs:
+        got = list(run(iter([batch, batch.slice(0, 0)])))
+        assert pa.Table.from_batches([x.select(batch.schema.names) for x in got]).to_pydict() == batch.to_pydict()
+        assert max(x.num_rows for x in got) < 1000 and sum(x.num_rows == 1 for x in got) <= 2
+    assert [x.num_rows for x in common.slices([batch.slice(0, 4), batch.slice(0, 0)], 1, 10)] == [2, 1, 1, 0]
